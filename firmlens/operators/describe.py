@@ -21,13 +21,13 @@ def frequency(df: DataFrame, key: str) -> DataFrame:
         df.groupBy(key)
         .agg(F.count(F.lit(1)).alias("n"))
         .withColumn("total", F.sum("n").over(everything))
-        .withColumn("percentage", percentage(F.col("n"), F.col("total")))
+        .withColumn("percentage", percentage("n", "total"))
     )
 
 
 def size_distribution(firms: DataFrame) -> DataFrame:
     """All firms by size code."""
-    counted = frequency(firms, "size").withColumn("size_label", fx.size_name(F.col("size")))
+    counted = frequency(firms, "size").withColumn("size_label", fx.size_name("size"))
     return counted.select(
         "size", "size_label", "n", "percentage", F.col("total").alias("total_firms")
     ).orderBy("size")
@@ -58,7 +58,7 @@ def firm_size_distribution(profiles: DataFrame) -> DataFrame:
     """Panel firms by size. A profile row is one firm, so levels are plainly counted."""
     return (
         frequency(profiles, "size")
-        .orderBy(fx.level_order(F.col("size"), SIZE_LEVELS).asc_nulls_last())
+        .orderBy(fx.level_order("size", SIZE_LEVELS).asc_nulls_last())
         .select("size", "n", F.col("size").alias("size_label"), "percentage")
     )
 
@@ -66,7 +66,7 @@ def firm_size_distribution(profiles: DataFrame) -> DataFrame:
 def ownership_distribution(profiles: DataFrame) -> DataFrame:
     return (
         frequency(profiles, "ownership")
-        .orderBy(F.desc("n"), fx.level_order(F.col("ownership"), OWNERSHIP_LEVELS).asc_nulls_last())
+        .orderBy(F.desc("n"), fx.level_order("ownership", OWNERSHIP_LEVELS).asc_nulls_last())
         .select("ownership", "n", "percentage")
     )
 
@@ -127,23 +127,23 @@ def size_stats(panel: DataFrame) -> DataFrame:
     # Rows collapse to one per (size, firm) first, so firms are counted in parallel.
     by_firm = panel.groupBy("size", "id").agg(
         F.count(F.lit(1)).alias("n"),
-        *[F.sum(c).alias(f"{c}_sum") for c in columns],
-        *[F.count(c).alias(f"{c}_n") for c in columns],
+        *[F.expr(f"sum({c}) AS {c}_sum") for c in columns],
+        *[F.expr(f"count({c}) AS {c}_n") for c in columns],
     )
     totals = by_firm.groupBy("size").agg(
         F.count(F.lit(1)).alias("n_firms"),
         F.sum("n").alias("n_obs"),
-        *[F.try_divide(F.sum(f"{c}_sum"), F.sum(f"{c}_n")).alias(f"{c}_mean") for c in columns],
+        *[F.expr(f"try_divide(sum({c}_sum), sum({c}_n)) AS {c}_mean") for c in columns],
     )
     medians = exact_medians(panel, ["size"], columns)
     joined = _with_medians(totals, medians, ["size"])
     stats = []
     for name, column in SIZE_STAT_MEASURES.items():
         stats += [
-            round_half_even(F.col(f"{column}_mean"), 2).alias(f"mean_{name}"),
-            round_half_even(F.col(column), 2).alias(f"median_{name}"),
+            round_half_even(f"{column}_mean", 2).alias(f"mean_{name}"),
+            round_half_even(column, 2).alias(f"median_{name}"),
         ]
-    return joined.orderBy(fx.level_order(F.col("size"), SIZE_LEVELS).asc_nulls_last()).select(
+    return joined.orderBy(fx.level_order("size", SIZE_LEVELS).asc_nulls_last()).select(
         "size", "n_firms", "n_obs", *stats
     )
 
@@ -151,13 +151,13 @@ def size_stats(panel: DataFrame) -> DataFrame:
 def assets_long(panel: DataFrame) -> DataFrame:
     """Mean and median assets by year and size, with the display text of each cell."""
     joined = _assets_by(panel, ["year", "size"])
-    return joined.orderBy("year", fx.level_order(F.col("size"), SIZE_LEVELS).asc_nulls_last()).select(
+    return joined.orderBy("year", fx.level_order("size", SIZE_LEVELS).asc_nulls_last()).select(
         "year",
         "size",
-        round_half_even(F.col("mean"), 1).alias("mean_assets"),
-        round_half_even(F.col("assets_mil"), 1).alias("median_assets"),
+        round_half_even("mean", 1).alias("mean_assets"),
+        round_half_even("assets_mil", 1).alias("median_assets"),
         F.col("n").alias("observations"),
-        mean_median_text(F.col("mean"), F.col("assets_mil"), F.col("n")).alias("assets"),
+        mean_median_text("mean", "assets_mil", "n").alias("assets"),
     )
 
 
@@ -165,7 +165,7 @@ def assets_wide(panel: DataFrame, cfg: PanelConfig) -> DataFrame:
     """The cells of `assets_long` with one column per size; 'N/A' where there is none."""
     sizes = [label for _, label in cfg.size_levels]
     cells = _assets_by(panel, ["year", "size"]).withColumn(
-        "assets", mean_median_text(F.col("mean"), F.col("assets_mil"), F.col("n"))
+        "assets", mean_median_text("mean", "assets_mil", "n")
     )
     return (
         cells.groupBy("year")
@@ -179,13 +179,13 @@ def assets_wide(panel: DataFrame, cfg: PanelConfig) -> DataFrame:
 def assets_by_ownership(panel: DataFrame, cfg: PanelConfig) -> DataFrame:
     """Mean and median assets by ownership over the configured years, largest mean first."""
     rows = panel.where(F.col("year").between(*cfg.ownership_asset_years))
-    order = fx.level_order(F.col("ownership"), OWNERSHIP_LEVELS).asc_nulls_last()
+    order = fx.level_order("ownership", OWNERSHIP_LEVELS).asc_nulls_last()
     return (
         _assets_by(rows, ["ownership"])
         .select(
             "ownership",
-            round_half_even(F.col("mean"), 1).alias("mean_assets"),
-            round_half_even(F.col("assets_mil"), 1).alias("median_assets"),
+            round_half_even("mean", 1).alias("mean_assets"),
+            round_half_even("assets_mil", 1).alias("median_assets"),
             F.col("n").alias("observations"),
         )
         .orderBy(F.desc("mean_assets"), order)
@@ -201,7 +201,7 @@ def _assets_by(panel: DataFrame, keys: list[str]) -> DataFrame:
 
 def _with_medians(stats: DataFrame, medians: DataFrame, keys: list[str]) -> DataFrame:
     """Both sides have one row per combination of factor levels, hence a broadcast."""
-    s, m = stats.alias("s"), F.broadcast(medians).alias("m")
-    same = [F.col(f"s.{k}").eqNullSafe(F.col(f"m.{k}")) for k in keys]
-    values = [c for c in medians.columns if c not in keys]
-    return s.join(m, same, "left").select("s.*", *[f"m.{c}" for c in values])
+    same = " AND ".join(f"s.{k} <=> m.{k}" for k in keys)
+    values = [f"m.{c}" for c in medians.columns if c not in keys]
+    joined = stats.alias("s").join(F.broadcast(medians).alias("m"), F.expr(same), "left")
+    return joined.select("s.*", *values)

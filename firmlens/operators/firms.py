@@ -12,10 +12,10 @@ from firmlens.operators.rows import not_excluded, statement_rows, with_codes
 def code_aggregates() -> list[Column]:
     """Firm attributes as aggregates over its years."""
     return [
-        F.max("size").alias("size"),
-        F.max(F.col("foreign").cast("int")).alias("foreign"),
-        F.max("ownership").alias("ownership"),
-        F.bool_or("liquidation").alias("liquidation"),
+        F.expr("max(size) AS size"),
+        F.expr("max(cast(foreign AS int)) AS foreign"),
+        F.expr("max(ownership) AS ownership"),
+        F.expr("bool_or(liquidation) AS liquidation"),
     ]
 
 
@@ -41,16 +41,15 @@ def firm_attributes(source: DataFrame, cfg: PanelConfig) -> DataFrame:
         .groupBy("id", "name")
         .agg(*code_aggregates(), F.count("name").alias("uses"))
     )
-    modal_name = F.min_by("name", F.struct(-F.col("uses"), F.col("name")))
     return by_name.groupBy("id").agg(
-        *code_aggregates(), modal_name.alias("name"), F.max("uses").alias("name_uses")
+        *code_aggregates(),
+        F.expr("min_by(name, struct(-uses, name)) AS name"),
+        F.max("uses").alias("name_uses"),
     )
 
 
 def eligible_firms(firms: DataFrame, cfg: PanelConfig) -> DataFrame:
     """Going concerns above the size floor, without the excluded ownership type."""
     return firms.where(
-        ~F.col("liquidation")
-        & (F.col("size") > cfg.size_above)
-        & (F.col("ownership") != cfg.excluded_ownership)
+        f"NOT liquidation AND size > {cfg.size_above} AND ownership != {cfg.excluded_ownership}"
     )

@@ -9,115 +9,102 @@ shuffled, and only counts (never the rows of a group) are put in order.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# 32 cells per power of two over the range of a double, on both sides of zero.
-_CELLS_PER_OCTAVE = 32
-_CELL_OFFSET = 40_000
-_LINEAR_CELLS = 4096
+# 32 cells per power of two over the range of a double, on both sides of zero
+# (infinities have cells of their own), then 4096 linear cells inside one of them.
+_LOG_CELL = """CASE WHEN value = 0 THEN 0D
+    ELSE signum(value) * (floor(least(log2(abs(value)) * 32, 35000D)) + 40000) END"""
+_LINEAR_CELL = "CASE WHEN hi > lo THEN floor((value - lo) / (hi - lo) * 4096) ELSE 0 END"
+_VALUE_CELL = "value"
 
 
 def exact_medians(rows: DataFrame, keys: list[str], measures: list[str]) -> DataFrame:
     """One row per key with the median of each measure, NULLs left out.
 
-    The keys must have few distinct values (factor levels, years of the window).
+    `rows` is read once per pass, so it should be a table or cached. The keys must
+    have few distinct values (factor levels, years of the window).
     """
-    values = rows.select(
-        *keys,
-        F.explode(
-            F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("value")) for m in measures])
-        ).alias("mv"),
-    ).select(*keys, "mv.measure", "mv.value").where(F.col("value").isNotNull())
-
+    pairs = ", ".join(f"named_struct('measure', '{m}', 'value', {m})" for m in measures)
+    values = (
+        rows.select(*keys, F.expr(f"inline(array({pairs}))")).where("value IS NOT NULL")
+    )
     group = [*keys, "measure"]
-    start = values.withColumns(
-        {
-            "below": F.lit(0).cast("bigint"),
-            "total": F.lit(None).cast("bigint"),
-            "lower": F.lit(None).cast("double"),
-            "upper": F.lit(None).cast("double"),
-        }
+    found = _narrow(
+        values.selectExpr(
+            "*", "0L AS below", "cast(NULL AS bigint) AS total",
+            "cast(NULL AS double) AS lower", "cast(NULL AS double) AS upper",
+        ),
+        group,
+        _LOG_CELL,
     )
-    found = _narrow(start, group, _log_cell())
-    for cell in (_linear_cell(), F.col("value")):
+    for cell in (_LINEAR_CELL, _VALUE_CELL):
         found = _narrow(_inside(values, found, group), group, cell)
 
-    medians = found.select(*group, ((F.col("lower") + F.col("upper")) / 2).alias("median"))
-    wide = [F.max(F.when(F.col("measure") == m, F.col("median"))).alias(m) for m in measures]
-    return medians.groupBy(*keys).agg(*wide)
-
-
-def _log_cell() -> Column:
-    v = F.col("value")
-    octave = F.floor(F.least(F.log2(F.abs(v)) * _CELLS_PER_OCTAVE, F.lit(35_000.0)))
-    return F.when(v == 0, 0).otherwise(F.signum(v) * (octave + _CELL_OFFSET))
-
-
-def _linear_cell() -> Column:
-    lo, hi = F.col("lo"), F.col("hi")
-    return F.when(hi > lo, F.floor((F.col("value") - lo) / (hi - lo) * _LINEAR_CELLS)).otherwise(0)
+    wide = [
+        F.expr(f"max(CASE WHEN measure = '{m}' THEN (lower + upper) / 2 END) AS {m}")
+        for m in measures
+    ]
+    return found.groupBy(*keys).agg(*wide)
 
 
 def _inside(values: DataFrame, found: DataFrame, group: list[str]) -> DataFrame:
     """Values in the bracket of their group; one row per group, so it is broadcast."""
-    v, f = values.alias("v"), F.broadcast(found).alias("f")
-    same = [F.col(f"v.{c}").eqNullSafe(F.col(f"f.{c}")) for c in group]
-    inside = F.col("v.value").between(F.col("f.lo"), F.col("f.hi"))
-    return v.join(f, [*same, inside]).select(
-        *[f"v.{c}" for c in group], "v.value",
-        *[f"f.{c}" for c in ("lo", "hi", "below", "total", "lower", "upper")],
+    same = " AND ".join(f"v.{c} <=> f.{c}" for c in group)
+    return (
+        values.alias("v")
+        .join(
+            F.broadcast(found).alias("f"),
+            F.expr(f"{same} AND v.value BETWEEN f.lo AND f.hi"),
+        )
+        .select("v.*", "f.lo", "f.hi", "f.below", "f.total", "f.lower", "f.upper")
     )
 
 
-def _narrow(values: DataFrame, group: list[str], cell: Column) -> DataFrame:
+def _narrow(values: DataFrame, group: list[str], cell: str) -> DataFrame:
     """Count values per cell and keep the cell (or the two cells) of the middle ranks."""
-    carried = ["below", "total", "lower", "upper"]
+    by = ", ".join(group)
     cells = (
-        values.withColumn("cell", cell)
-        .groupBy(*group, *carried, "cell")
+        values.withColumn("cell", F.expr(cell))
+        .groupBy(*group, "below", "total", "lower", "upper", "cell")
         .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.min("value").alias("cell_lo"),
-            F.max("value").alias("cell_hi"),
+            F.expr("count(1) AS n"),
+            F.expr("min(value) AS cell_lo"),
+            F.expr("max(value) AS cell_hi"),
         )
     )
-    of_group = Window.partitionBy(*group)
-    running = of_group.orderBy("cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    in_order = f"PARTITION BY {by} ORDER BY cell ROWS BETWEEN UNBOUNDED PRECEDING AND"
     ranked = cells.withColumns(
         {
-            "total": F.coalesce("total", F.sum("n").over(of_group)),
-            "upto": F.col("below") + F.sum("n").over(running),
+            "total": F.expr(f"coalesce(total, sum(n) OVER ({in_order} UNBOUNDED FOLLOWING))"),
+            "upto": F.expr(f"below + sum(n) OVER ({in_order} CURRENT ROW)"),
         }
-    ).withColumn("before", F.col("upto") - F.col("n"))
-
-    # Middle ranks are equal for an odd total and neighbours for an even one.
-    first_rank = F.floor((F.col("total") + 1) / 2)
-    last_rank = F.floor(F.col("total") / 2) + 1
-    middle = (F.col("before") < last_rank) & (F.col("upto") >= first_rank)
-    known = F.col("lower").isNotNull()
-    picked = ranked.where(known | middle).groupBy(*group).agg(
-        F.first("total").alias("total"),
-        F.min("before").alias("below"),
-        F.first("lower").alias("known_lower"),
-        F.first("upper").alias("known_upper"),
-        F.count(F.lit(1)).alias("cells"),
-        F.min("cell_lo").alias("first_lo"),
-        F.min("cell_hi").alias("first_hi"),
-        F.max("cell_lo").alias("last_lo"),
+    )
+    # The middle ranks are equal for an odd total and neighbours for an even one.
+    # A group that is settled stays in the next pass through one of its values.
+    middle = "upto - n < total div 2 + 1 AND upto >= (total + 1) div 2"
+    picked = (
+        ranked.where(f"lower IS NOT NULL OR ({middle})")
+        .groupBy(*group, "total", "lower", "upper")
+        .agg(
+            F.expr("min(upto - n) AS below"),
+            F.expr("count(1) AS cells"),
+            F.expr("min(cell_lo) AS first_lo"),
+            F.expr("min(cell_hi) AS first_hi"),
+            F.expr("max(cell_lo) AS last_lo"),
+        )
     )
     # Two cells: the ranks are the end of the first and the start of the second.
     # One cell of equal values: both ranks have that value. Else go on inside it.
-    settled = (F.col("cells") == 2) | (F.col("first_lo") == F.col("first_hi"))
-    lower = F.coalesce("known_lower", F.when(settled, F.col("first_hi")))
-    upper = F.coalesce("known_upper", F.when(settled, F.col("last_lo")))
-    return picked.select(
+    settled = "(cells = 2 OR first_lo = first_hi)"
+    lower = f"coalesce(lower, CASE WHEN {settled} THEN first_hi END)"
+    return picked.selectExpr(
         *group,
         "total",
         "below",
-        lower.alias("lower"),
-        upper.alias("upper"),
-        # A settled group stays in the next pass through one of its values.
-        F.coalesce(lower, F.col("first_lo")).alias("lo"),
-        F.coalesce(lower, F.col("first_hi")).alias("hi"),
+        f"{lower} AS lower",
+        f"coalesce(upper, CASE WHEN {settled} THEN last_lo END) AS upper",
+        f"coalesce({lower}, first_lo) AS lo",
+        f"coalesce({lower}, first_hi) AS hi",
     )

@@ -39,21 +39,18 @@ def with_labels(df: DataFrame, cfg: PanelConfig) -> DataFrame:
         "covid_period": list(enumerate(cfg.period_labels, start=1)),
     }
     return df.withColumns(
-        {c: fx.label_of(F.col(c), lv) for c, lv in levels.items() if c in df.columns}
+        {c: fx.label_of(c, lv) for c, lv in levels.items() if c in df.columns}
     )
 
 
 def regression_sample(panel: DataFrame) -> DataFrame:
     """One row per dependent variable and firm-year in its estimation sample."""
-    observed = F.array(
-        *[
-            F.struct(F.lit(d).alias("depvar"), sample_value(d).alias("y"))
-            for d in DEPENDENT_VARIABLES
-        ]
+    observed = ", ".join(
+        f"named_struct('depvar', '{d}', 'y', {sample_value(d)})" for d in DEPENDENT_VARIABLES
     )
     keys = ("id", "year", "covid_period", "size", "foreign", "ownership")
     return (
-        panel.select(*keys, F.explode(observed).alias("s"))
+        panel.select(*keys, F.expr(f"explode(array({observed}))").alias("s"))
         .select("s.depvar", "s.y", *keys)
-        .where(F.col("y").isNotNull())
+        .where("y IS NOT NULL")
     )

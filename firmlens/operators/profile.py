@@ -24,74 +24,74 @@ from firmlens.operators.rows import (
 )
 
 
-def firm_profiles(source: DataFrame, cfg: PanelConfig) -> DataFrame:
+def firm_profiles(source: DataFrame, cfg: PanelConfig, moments: bool = True) -> DataFrame:
     """Eligible firms with at least one eligible row.
 
     Columns: id, size, foreign, ownership (labels), row_count (rows in the window),
-    n_obs (eligible rows), n_years (distinct years of those) and `moments`, an array
-    with one struct per dependent variable.
+    n_obs (eligible rows), n_years (distinct years of those) and, if asked for,
+    `moments`, an array with one struct per dependent variable: counts `n` and sums
+    `s` by period, and the sum of squares `ss` around the firm's mean.
     """
     rows = with_metrics(with_codes(statement_rows(source, cfg), cfg), cfg)
     rows = scaled(rows).where(not_excluded(cfg)).withColumn("eligible", within_margins(cfg))
-    in_model = F.col("eligible") & F.col("covid_period").isNotNull()
-    rows = rows.withColumns(
-        {_y(i): F.when(in_model, sample_value(d)) for i, d in enumerate(DEPENDENT_VARIABLES)}
-    )
-    year_bit = F.call_function(
-        "shiftleft", F.lit(1).cast("bigint"), F.col("year") - cfg.first_year
-    )
     aggregates = [
         *code_aggregates(),
-        F.count(F.lit(1)).alias("row_count"),
-        F.count_if("eligible").alias("n_obs"),
-        F.bit_or(F.when(F.col("eligible"), year_bit)).alias("year_mask"),
+        F.expr("count(1) AS row_count"),
+        F.expr("count_if(eligible) AS n_obs"),
+        F.expr(f"bit_or(CASE WHEN eligible THEN shiftleft(1L, year - {cfg.first_year}) END) AS years"),
     ]
-    for i, _ in enumerate(DEPENDENT_VARIABLES):
-        aggregates += _moment_aggregates(_y(i), cfg)
-    moments = [_moment_struct(d, _y(i), cfg) for i, d in enumerate(DEPENDENT_VARIABLES)]
-
-    firms = eligible_firms(rows.groupBy("id").agg(*aggregates), cfg).where(F.col("n_obs") > 0)
-    return with_labels(
-        firms.select(
-            "id",
-            "size",
-            "foreign",
-            "ownership",
-            "row_count",
-            "n_obs",
-            F.bit_count("year_mask").alias("n_years"),
-            F.array(*moments).alias("moments"),
-        ),
-        cfg,
-    )
+    columns = [
+        "id", "size", "foreign", "ownership", "row_count", "n_obs", "bit_count(years) AS n_years"
+    ]
+    if moments:
+        in_model = "eligible AND covid_period IS NOT NULL"
+        rows = rows.withColumns(
+            {
+                _y(i): F.expr(f"CASE WHEN {in_model} THEN {sample_value(d)} END")
+                for i, d in enumerate(DEPENDENT_VARIABLES)
+            }
+        )
+        structs = []
+        for i, depvar in enumerate(DEPENDENT_VARIABLES):
+            aggregates += _moment_aggregates(_y(i), cfg)
+            structs.append(_moment_struct(depvar, _y(i), cfg))
+        columns.append(f"array({', '.join(structs)}) AS moments")
+
+    firms = eligible_firms(rows.groupBy("id").agg(*aggregates), cfg).where("n_obs > 0")
+    return with_labels(firms.selectExpr(*columns), cfg)
 
 
 def _y(position: int) -> str:
     return f"y{position}"
 
 
+def _periods(cfg: PanelConfig) -> range:
+    return range(1, len(cfg.periods) + 1)
+
+
 def _moment_aggregates(y: str, cfg: PanelConfig) -> list[Column]:
-    """Count and sum by period, and the sum of squares around the firm's mean."""
-    result = [(F.var_pop(y) * F.count(y)).alias(f"{y}_ss")]
-    for p, _ in enumerate(cfg.periods, start=1):
-        of_period = F.when(F.col("covid_period") == p, F.col(y))
-        result += [
-            F.count(of_period).alias(f"{y}_n{p}"),
-            F.coalesce(F.sum(of_period), F.lit(0.0)).alias(f"{y}_s{p}"),
-        ]
-    return result
-
-
-def _moment_struct(depvar: str, y: str, cfg: PanelConfig) -> Column:
-    def by_period(kind: str) -> Column:
-        return F.array(*[F.col(f"{y}_{kind}{p}").cast("double") for p, _ in enumerate(cfg.periods, 1)])
-
-    return F.struct(
-        F.lit(depvar).alias("depvar"),
-        by_period("n").alias("n"),
-        by_period("s").alias("s"),
-        F.col(f"{y}_ss").alias("ss"),
-    )
+    texts = [f"var_pop({y}) * count({y}) AS {y}_ss"]
+    for p in _periods(cfg):
+        of_period = f"CASE WHEN covid_period = {p} THEN {y} END"
+        texts.append(f"cast(count({of_period}) AS double) AS {y}_n{p}")
+        texts.append(f"coalesce(sum({of_period}), 0D) AS {y}_s{p}")
+    return [F.expr(text) for text in texts]
+
+
+def _moment_struct(depvar: str, y: str, cfg: PanelConfig) -> str:
+    counts = ", ".join(f"{y}_n{p}" for p in _periods(cfg))
+    sums = ", ".join(f"{y}_s{p}" for p in _periods(cfg))
+    return f"named_struct('depvar', '{depvar}', 'n', array({counts}), 's', array({sums}), 'ss', {y}_ss)"
+
+
+def total_of(array: str, cfg: PanelConfig) -> str:
+    """SQL sum over the periods of one of the moment arrays."""
+    return "(" + " + ".join(f"{array}[{p - 1}]" for p in _periods(cfg)) + ")"
+
+
+def fully_labelled(profiles: DataFrame) -> DataFrame:
+    """Firms whose attributes are all known levels, as a model needs them."""
+    return profiles.where("size IS NOT NULL AND foreign IS NOT NULL AND ownership IS NOT NULL")
 
 
 def firm_moments(profiles: DataFrame, cfg: PanelConfig) -> DataFrame:
@@ -101,25 +101,21 @@ def firm_moments(profiles: DataFrame, cfg: PanelConfig) -> DataFrame:
     mean, and the demeaned period cross product g_pq = n_p [p = q] - n_p n_q / n.
     """
     keys = ("id", "size", "foreign", "ownership")
-    complete = F.col("size").isNotNull() & F.col("foreign").isNotNull() & F.col("ownership").isNotNull()
-    total = sum((F.col("m.n")[i] for i, _ in enumerate(cfg.periods)), F.lit(0.0))
-    y_sum = sum((F.col("m.s")[i] for i, _ in enumerate(cfg.periods)), F.lit(0.0))
     base = (
-        profiles.where(complete)
+        fully_labelled(profiles)
         .select(*keys, F.explode("moments").alias("m"))
-        .select("m.depvar", *keys, total.alias("n"), F.try_divide(y_sum, total).alias("y_mean"), "m.ss",
-                F.col("m.n").alias("period_n"), F.col("m.s").alias("period_s"))
-        .where(F.col("n") > 0)
+        .selectExpr(
+            "m.depvar", *keys, "m.ss", f"{total_of('m.n', cfg)} AS n", f"{total_of('m.s', cfg)} AS y_sum",
+            *[f"m.n[{p}] AS n_{p}" for p in dummies(cfg)],
+            *[f"m.s[{p}] AS s_{p}" for p in dummies(cfg)],
+        )
+        .where("n > 0")
     )
-    count = {p: F.col("period_n")[p] for p in dummies(cfg)}
-    columns = {}
-    for p in dummies(cfg):
-        columns[f"n_{p}"] = count[p]
-        columns[f"w_{p}"] = F.col("period_s")[p] - count[p] * F.col("y_mean")
-    for p, q in pairs(cfg):
-        own = count[p] if p == q else F.lit(0.0)
-        columns[f"g_{p}{q}"] = own - count[p] * count[q] / F.col("n")
-    return base.withColumns(columns).drop("period_n", "period_s")
+    deviations = [f"s_{p} - n_{p} * (y_sum / n) AS w_{p}" for p in dummies(cfg)]
+    products = [
+        f"{f'n_{p}' if p == q else '0D'} - n_{p} * n_{q} / n AS g_{p}{q}" for p, q in pairs(cfg)
+    ]
+    return base.selectExpr("depvar", *keys, "ss", "n", *deviations, *products)
 
 
 def dummies(cfg: PanelConfig) -> range:

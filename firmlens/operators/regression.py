@@ -90,11 +90,10 @@ def profile_sums(moments: DataFrame, cfg: PanelConfig) -> DataFrame:
         *itertools.combinations_with_replacement(g, 2),
     ]
     return moments.groupBy("depvar", "size", "foreign", "ownership").agg(
-        F.sum("n").cast("bigint").alias("obs"),
-        F.count(F.lit(1)).alias("firms"),
-        F.sum("ss").alias("ss"),
-        *[F.sum(c).alias(c) for c in (*w, *g)],
-        *[F.sum(F.col(a) * F.col(b)).alias(_product(a, b)) for a, b in products],
+        F.expr("cast(sum(n) AS bigint) AS obs"),
+        F.expr("count(1) AS firms"),
+        *[F.expr(f"sum({c}) AS {c}") for c in ("ss", *w, *g)],
+        *[F.expr(f"sum({a} * {b}) AS `{_product(a, b)}`") for a, b in products],
     )
 
 
@@ -238,7 +237,7 @@ def summary_table(spark: SparkSession, fits: list[Fit]) -> DataFrame:
     schema = (
         "depvar string, obs bigint, firms bigint, slopes int, r2 double, adj_r2 double, f_stat double"
     )
-    return spark.createDataFrame(rows, schema).withColumn("unit", fx.unit_caption(F.col("depvar")))
+    return spark.createDataFrame(rows, schema).withColumn("unit", fx.unit_caption("depvar"))
 
 
 def coefficient_table(spark: SparkSession, fits: list[Fit], cfg: PanelConfig) -> DataFrame:
@@ -256,7 +255,7 @@ def coefficient_table(spark: SparkSession, fits: list[Fit], cfg: PanelConfig) ->
         "t_value double, p_value double"
     )
     return spark.createDataFrame(rows, schema).withColumn(
-        "stars", fx.significance_stars(F.col("p_value"))
+        "stars", fx.significance_stars("p_value")
     )
 
 
@@ -312,15 +311,13 @@ def firm_scores(moments: DataFrame, fits: list[Fit], cfg: PanelConfig) -> DataFr
     )
     residual_sums = {}
     for p in dummies(cfg):
-        u = F.col(f"w_{p}")
-        for q in dummies(cfg):
-            u = u - F.col(f"g_{min(p, q)}{max(p, q)}") * F.col("c")[q - 1]
-        residual_sums[f"u_{p}"] = u
+        fitted = [f"g_{min(p, q)}{max(p, q)} * c[{q - 1}]" for q in dummies(cfg)]
+        residual_sums[f"u_{p}"] = F.expr(" - ".join([f"w_{p}", *fitted]))
     scored = moments.join(F.broadcast(slopes), keys).withColumns(residual_sums)
-    score = {
-        t: F.when(F.col(t.attribute) == t.level, F.col(f"u_{t.period}")).otherwise(F.lit(0.0))
+    scores = [
+        f"CASE WHEN {t.attribute} = '{t.level}' THEN u_{t.period} ELSE 0D END AS {t.column}"
         if t.attribute
-        else F.col(f"u_{t.period}")
+        else f"u_{t.period} AS {t.column}"
         for t in terms
-    }
-    return scored.select("depvar", "id", *[score[t].alias(t.column) for t in terms])
+    ]
+    return scored.selectExpr("depvar", "id", *scores)

@@ -30,51 +30,49 @@ METRIC_COLUMNS = (
 
 def statement_rows(source: DataFrame, cfg: PanelConfig) -> DataFrame:
     """Statements of the year window under business names."""
-    return source.where(fx.in_window(F.col("year"), cfg)).select(
-        F.col("mb").alias("id"),
+    return source.where(fx.in_window("year", cfg)).selectExpr(
+        "mb AS id",
         "year",
         "name",
-        F.col("AOP1001").alias("operating_revenue"),
-        F.col("AOP1043").alias("total_revenue"),
-        F.col("AOP1025").alias("operating_income"),
-        F.col("AOP1026").alias("operating_loss"),
-        F.col("AOP1055").alias("net_income"),
-        F.col("AOP1064").alias("net_loss"),
-        F.col("AOP59").alias("assets"),
-        F.col("AOP9005").alias("employees"),
-        F.col("AOP9002").alias("ownership_code"),
-        F.col("AOP9003").alias("foreign_share"),
+        "AOP1001 AS operating_revenue",
+        "AOP1043 AS total_revenue",
+        "AOP1025 AS operating_income",
+        "AOP1026 AS operating_loss",
+        "AOP1055 AS net_income",
+        "AOP1064 AS net_loss",
+        "AOP59 AS assets",
+        "AOP9005 AS employees",
+        "AOP9002 AS ownership_code",
+        "AOP9003 AS foreign_share",
     )
 
 
 def with_codes(rows: DataFrame, cfg: PanelConfig) -> DataFrame:
     """Add the per-year attribute codes of the firm."""
-    inputs = [F.col(c) for c in ("employees", "operating_revenue", "assets")]
     return rows.withColumns(
         {
-            "size": fx.size_class(*inputs, cfg),
-            "foreign": fx.foreign_flag(F.col("foreign_share")),
-            "ownership": fx.ownership_code(F.col("ownership_code"), cfg),
-            "liquidation": fx.liquidation_flag(F.col("name"), cfg),
+            "size": fx.size_class("employees", "operating_revenue", "assets", cfg),
+            "foreign": fx.foreign_flag("foreign_share"),
+            "ownership": fx.ownership_code("ownership_code", cfg),
+            "liquidation": fx.liquidation_flag("name", cfg),
         }
     )
 
 
 def with_metrics(rows: DataFrame, cfg: PanelConfig) -> DataFrame:
     """Add results, margins, logs and the period code."""
-    revenue = F.col("operating_revenue")
     return rows.withColumns(
         {
-            "operating_result": fx.net_of(F.col("operating_income"), F.col("operating_loss")),
-            "net_result": fx.net_of(F.col("net_income"), F.col("net_loss")),
+            "operating_result": fx.net_of("operating_income", "operating_loss"),
+            "net_result": fx.net_of("net_income", "net_loss"),
         }
     ).withColumns(
         {
-            "operating_margin": F.try_divide("operating_result", revenue),
-            "net_margin": F.try_divide("net_result", revenue),
-            "log_operating_revenue": F.ln(revenue),
+            "operating_margin": F.expr("try_divide(operating_result, operating_revenue)"),
+            "net_margin": F.expr("try_divide(net_result, operating_revenue)"),
+            "log_operating_revenue": F.ln("operating_revenue"),
             "log_total_revenue": F.ln("total_revenue"),
-            "covid_period": fx.period_code(F.col("year"), cfg),
+            "covid_period": fx.period_code("year", cfg),
         }
     )
 
@@ -83,11 +81,11 @@ def scaled(rows: DataFrame) -> DataFrame:
     """Add the measures in millions and percentage points."""
     return rows.withColumns(
         {
-            "operating_revenue_mil": F.col("operating_revenue") / 1000,
-            "total_revenue_mil": F.col("total_revenue") / 1000,
-            "assets_mil": F.col("assets") / 1000,
-            "operating_margin_pct": F.col("operating_margin") * 100,
-            "net_margin_pct": F.col("net_margin") * 100,
+            "operating_revenue_mil": F.expr("operating_revenue / 1000"),
+            "total_revenue_mil": F.expr("total_revenue / 1000"),
+            "assets_mil": F.expr("assets / 1000"),
+            "operating_margin_pct": F.expr("operating_margin * 100"),
+            "net_margin_pct": F.expr("net_margin * 100"),
         }
     )
 
@@ -103,18 +101,16 @@ def not_excluded(cfg: PanelConfig) -> Column:
 
 def within_margins(cfg: PanelConfig) -> Column:
     """Both margins strictly inside the bound; a NULL margin is not."""
-    return F.coalesce(
-        (F.abs("operating_margin") < cfg.margin_bound)
-        & (F.abs("net_margin") < cfg.margin_bound),
-        F.lit(False),
+    bound = float(cfg.margin_bound)
+    return F.expr(
+        f"coalesce(abs(operating_margin) < {bound}D AND abs(net_margin) < {bound}D, false)"
     )
 
 
-def sample_value(depvar: str) -> Column:
-    """The dependent variable where the row is in its estimation sample, else NULL.
+def sample_value(depvar: str) -> str:
+    """SQL of the dependent variable, NULL where the row is not in its estimation sample.
 
     For the logs the positivity filter acts on the logged value.
     """
     column, positive = DEPENDENT_VARIABLES[depvar]
-    value = F.col(column)
-    return F.when(value > 0, value) if positive else value
+    return f"CASE WHEN {column} > 0 THEN {column} END" if positive else column

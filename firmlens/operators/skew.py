@@ -17,15 +17,14 @@ def attach_by_key(
     most (all rows / hot_rows) entries, since each of them stands for more than
     `hot_rows` rows.
     """
-    pieces = F.ceil(F.col(weight) / F.lit(hot_rows)).cast("int")
-    hot = per_key.where(F.col(weight) > hot_rows).select(key, pieces.alias("_pieces"))
-    salted = rows.join(F.broadcast(hot), key, "left").withColumn(
-        "_salt",
-        F.when(F.col("_pieces").isNull(), 0).otherwise(
-            F.pmod(F.spark_partition_id(), F.col("_pieces"))
-        ),
+    pieces = f"cast(ceil({weight} / {hot_rows}D) AS int)"
+    hot = per_key.where(f"{weight} > {hot_rows}").selectExpr(key, f"{pieces} AS _pieces")
+    salted = (
+        rows.join(F.broadcast(hot), key, "left")
+        .withColumn("_salt", F.expr("pmod(spark_partition_id(), coalesce(_pieces, 1))"))
+        .drop("_pieces")
     )
     repeated = per_key.withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.greatest(pieces, F.lit(1)) - 1))
+        "_salt", F.expr(f"explode(sequence(0, greatest({pieces}, 1) - 1))")
     )
-    return salted.drop("_pieces").join(repeated, [key, "_salt"]).drop("_salt")
+    return salted.join(repeated, [key, "_salt"]).drop("_salt")

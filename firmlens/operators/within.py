@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from firmlens.config import DEPENDENT_VARIABLES, PanelConfig
+from firmlens.operators.profile import fully_labelled, total_of
 from firmlens.operators.regression import Term, model_terms
 from firmlens.operators.rows import panel_metrics, sample_value, scaled, within_margins
 from firmlens.operators.skew import attach_by_key
@@ -13,19 +14,18 @@ from firmlens.operators.skew import attach_by_key
 
 def design_matrix(panel: DataFrame, cfg: PanelConfig) -> DataFrame:
     """0/1 columns of the slopes for every panel row."""
+    dummies = [
+        _of_level(t, f"CASE WHEN covid_period = '{cfg.period_labels[t.period]}' THEN 1D ELSE 0D END")
+        for t in model_terms(cfg)
+    ]
+    return panel.selectExpr("id", "year", *dummies)
 
-    def dummy(t: Term) -> Column:
-        in_period = F.col("covid_period") == cfg.period_labels[t.period]
-        return _of_level(t, in_period.cast("double")).alias(t.column)
 
-    return panel.select("id", "year", *[dummy(t) for t in model_terms(cfg)])
-
-
-def _of_level(t: Term, value: Column) -> Column:
-    """`value` for firms of the term's attribute level, zero for others."""
-    if t.attribute is None:
-        return value
-    return F.when(F.col(t.attribute) == t.level, value).otherwise(F.lit(0.0))
+def _of_level(t: Term, value: str) -> str:
+    """SQL: `value` for firms of the term's attribute level, zero for others."""
+    if t.attribute is not None:
+        value = f"CASE WHEN {t.attribute} = '{t.level}' THEN {value} ELSE 0D END"
+    return f"{value} AS {t.column}"
 
 
 def within_transform(source: DataFrame, profiles: DataFrame, cfg: PanelConfig) -> DataFrame:
@@ -34,32 +34,29 @@ def within_transform(source: DataFrame, profiles: DataFrame, cfg: PanelConfig) -
     Means come from the counts and sums in the firm profiles, so rows meet their
     firm once for all models; the firm mean of (period p) x (level z) is z n_p / n.
     """
+    values = ", ".join(sample_value(d) for d in DEPENDENT_VARIABLES)
     rows = (
         scaled(panel_metrics(source, cfg).where(within_margins(cfg)))
-        .where(F.col("covid_period").isNotNull())
-        .select("id", "year", "covid_period", F.array(*[sample_value(d) for d in DEPENDENT_VARIABLES]).alias("y"))
+        .where("covid_period IS NOT NULL")
+        .selectExpr("id", "year", "covid_period", f"array({values}) AS y")
     )
-    firms = profiles.where(
-        F.col("size").isNotNull() & F.col("foreign").isNotNull() & F.col("ownership").isNotNull()
-    ).drop("n_obs", "n_years")
+    firms = fully_labelled(profiles).drop("n_obs", "n_years")
     joined = attach_by_key(rows, firms, "id", "row_count", cfg.hot_rows)
-    sample = joined.select(
-        "*", F.explode(F.arrays_zip("y", "moments")).alias("s")
-    ).where(F.col("s.y").isNotNull())
-
-    periods = range(len(cfg.periods))
-    n = sum((F.col("s.moments.n")[p] for p in periods), F.lit(0.0))
-    y_sum = sum((F.col("s.moments.s")[p] for p in periods), F.lit(0.0))
-
-    def demeaned(t: Term) -> Column:
-        here = (F.col("covid_period") == t.period + 1).cast("double")
-        share = F.try_divide(F.col("s.moments.n")[t.period], n)
-        return _of_level(t, here - share).alias(t.column)
-
-    return sample.select(
-        F.col("s.moments.depvar").alias("depvar"),
+    sample = joined.select("*", F.expr("explode(arrays_zip(y, moments)) AS s")).where(
+        "s.y IS NOT NULL"
+    )
+    n = total_of("s.moments.n", cfg)
+    y_sum = total_of("s.moments.s", cfg)
+    return sample.selectExpr(
+        "s.moments.depvar AS depvar",
         "id",
         "year",
-        (F.col("s.y") - F.try_divide(y_sum, n)).alias("y"),
-        *[demeaned(t) for t in model_terms(cfg)],
+        f"s.y - try_divide({y_sum}, {n}) AS y",
+        *[
+            _of_level(
+                t,
+                f"cast(covid_period = {t.period + 1} AS double) - try_divide(s.moments.n[{t.period}], {n})",
+            )
+            for t in model_terms(cfg)
+        ],
     )

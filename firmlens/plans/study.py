@@ -32,8 +32,10 @@ class PanelStudy:
         """The same study with its three intermediate tables written once."""
         study = PanelStudy(self.source, self.cfg)
         study.firms = materialize(self.firms, "firms")
-        study.profiles = materialize(self.profiles, "profiles")
+        study.model_profiles = materialize(self.model_profiles, "profiles")
+        study.profiles = study.model_profiles
         study.panel = materialize(self.panel, "panel")
+        study.measures = study.panel
         return study
 
     # Intermediate tables
@@ -44,15 +46,25 @@ class PanelStudy:
 
     @cached_property
     def profiles(self) -> DataFrame:
+        return profile.firm_profiles(self.source, self.cfg, moments=False)
+
+    @cached_property
+    def model_profiles(self) -> DataFrame:
         return profile.firm_profiles(self.source, self.cfg)
 
     @cached_property
     def panel(self) -> DataFrame:
         return panel.merged_panel(self.source, self.cfg)
 
+    @cached_property
+    def measures(self) -> DataFrame:
+        """Panel columns of the summary reports, written once: medians take three passes."""
+        columns = ("id", "year", "size", "ownership", *describe.SIZE_STAT_MEASURES.values())
+        return materialize(self.panel.select(*columns), "measures")
+
     @cached_property
     def moments(self) -> DataFrame:
-        return profile.firm_moments(self.profiles, self.cfg)
+        return profile.firm_moments(self.model_profiles, self.cfg)
 
     @cached_property
     def fits(self) -> list[regression.Fit]:
@@ -90,7 +102,7 @@ class PanelStudy:
 
     def covid_period(self) -> DataFrame:
         periods = list(enumerate(self.cfg.period_labels, start=1))
-        label = fx.label_of(F.col("covid_period"), periods)
+        label = fx.label_of("covid_period", periods)
         return self.panel_metrics().select(
             "id", "year", "covid_period", label.alias("period_label")
         )
@@ -126,16 +138,16 @@ class PanelStudy:
         return describe.panel_key_check(self.profiles)
 
     def size_stats(self) -> DataFrame:
-        return describe.size_stats(self.panel)
+        return describe.size_stats(self.measures)
 
     def assets_long(self) -> DataFrame:
-        return describe.assets_long(self.panel)
+        return describe.assets_long(self.measures)
 
     def assets_wide(self) -> DataFrame:
-        return describe.assets_wide(self.panel, self.cfg)
+        return describe.assets_wide(self.measures, self.cfg)
 
     def assets_by_ownership(self) -> DataFrame:
-        return describe.assets_by_ownership(self.panel, self.cfg)
+        return describe.assets_by_ownership(self.measures, self.cfg)
 
     # Models
 
@@ -146,7 +158,7 @@ class PanelStudy:
         return within.design_matrix(self.panel, self.cfg)
 
     def within_transform(self) -> DataFrame:
-        return within.within_transform(self.source, self.profiles, self.cfg)
+        return within.within_transform(self.source, self.model_profiles, self.cfg)
 
     def within_moments(self) -> DataFrame:
         return regression.moment_table(self.spark, self.fits, self.cfg)
@@ -175,9 +187,9 @@ class PanelStudy:
             "unit",
             "obs",
             "firms",
-            round_half_even(F.col("r2"), 4).alias("r2"),
-            round_half_even(F.col("adj_r2"), 4).alias("adj_r2"),
-            round_half_even(F.col("f_stat"), 2).alias("f_stat"),
+            round_half_even("r2", 4).alias("r2"),
+            round_half_even("adj_r2", 4).alias("adj_r2"),
+            round_half_even("f_stat", 2).alias("f_stat"),
         )
 
     REPORTS = (

@@ -18,96 +18,70 @@ def _firm_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     def table(name: str) -> DataFrame:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-    price = F.floor("l_extendedprice")
-
-    def flagged(flag: str):
-        return F.sum(F.when(F.col("l_returnflag") == flag, price))
-
     # Items collapse to one row per order before the join, so the join is one to
     # one and neither a long order nor a busy customer makes a hot join key.
     items = (
         table("lineitem")
+        .selectExpr("l_orderkey", "l_returnflag", "l_quantity", "floor(l_extendedprice) AS price")
         .groupBy("l_orderkey")
         .agg(
-            F.sum(price).alias("ep"),
-            flagged("N").alias("ep_n"),
-            flagged("R").alias("ep_r"),
-            flagged("A").alias("ep_a"),
-            F.sum(F.col("l_quantity").cast("bigint")).alias("qty"),
+            F.expr("sum(price) AS ep"),
+            F.expr("sum(CASE WHEN l_returnflag = 'N' THEN price END) AS ep_n"),
+            F.expr("sum(CASE WHEN l_returnflag = 'R' THEN price END) AS ep_r"),
+            F.expr("sum(CASE WHEN l_returnflag = 'A' THEN price END) AS ep_a"),
+            F.expr("sum(cast(l_quantity AS bigint)) AS qty"),
         )
     )
-    orders = table("orders").select(
+    orders = table("orders").selectExpr(
         "o_orderkey",
-        F.col("o_custkey").alias("mb"),
-        F.year("o_orderdate").alias("year"),
-        F.floor("o_totalprice").alias("tp"),
+        "o_custkey AS mb",
+        "year(o_orderdate) AS year",
+        "floor(o_totalprice) AS tp",
     )
     sums = ("ep", "ep_n", "ep_r", "ep_a", "qty", "tp")
     yearly = (
         orders.join(items, orders.o_orderkey == items.l_orderkey, "left")
         .groupBy("mb", "year")
         .agg(
-            *[F.sum(c).cast("double").alias(c) for c in sums],
+            *[F.expr(f"cast(sum({c}) AS double) AS {c}") for c in sums],
             F.count("l_orderkey").alias("matched"),
         )
-        .where(F.col("matched") > 0)
+        .where("matched > 0")
     )
-    customers = table("customer").select(F.col("c_custkey").alias("mb"), "c_name")
+    customers = table("customer").selectExpr("c_custkey AS mb", "c_name")
     return yearly.join(customers, "mb")
 
 
 def _statements(p: DataFrame) -> DataFrame:
-    mb, year = F.col("mb"), F.col("year")
-    ep, ep_n, ep_r, ep_a, tp = (F.col(c) for c in ("ep", "ep_n", "ep_r", "ep_a", "tp"))
-    key = mb + year
-    micro, small = mb % 60 == 2, mb % 60 == 32
-    zero, none = F.lit(0.0), F.lit(None).cast("double")
-
-    def sized(if_micro, if_small):
-        return F.when(micro, if_micro).when(small, if_small)
-
-    def scaled(column, micro_by, small_by):
-        return sized(
-            F.floor(column / micro_by).cast("double"),
-            F.floor(column / small_by).cast("double"),
-        )
-
-    return p.select(
-        mb,
-        year,
-        F.when(key % 17 == 0, F.lit(None).cast("string"))
-        .when((mb % 40 == 0) & (year >= 1999), F.concat("c_name", F.lit(" U STEČAJU")))
-        .when((mb % 40 == 1) & (year >= 1999), F.concat("c_name", F.lit(" U LIKVIDACIJI")))
-        .when(key % 3 == 0, F.upper("c_name"))
-        .otherwise(F.col("c_name"))
-        .alias("name"),
-        sized(F.floor(ep / 100).cast("double"), ep)
-        .when(key % 29 == 0, none)
-        .when(key % 31 == 0, zero)
-        .otherwise(ep * 10)
-        .alias("AOP1001"),
-        scaled(ep_n, 500, 5).when(mb % 50 == 7, ep_n * 20).otherwise(ep_n * 2).alias("AOP1025"),
-        scaled(ep_r, 500, 5).otherwise(ep_r * 2).alias("AOP1026"),
-        F.when((year >= 1998) | (mb % 7 < 3), ep * 12)
-        .when(mb % 3 == 0, zero)
-        .when(mb % 3 == 1, F.lit(1.0))
-        .alias("AOP1043"),
-        scaled(ep_a, 1000, 10).when(mb % 50 == 8, ep_a * 20).otherwise(ep_a).alias("AOP1055"),
-        scaled(ep_r, 1000, 10).otherwise(ep_r).alias("AOP1064"),
-        scaled(tp, 100, 3)
-        .when((year >= 1998) | (mb % 7 > 3), tp * 5)
-        .when(mb % 2 == 0, zero)
-        .alias("AOP59"),
-        sized(F.lit(5.0), F.lit(30.0))
-        .when(key % 23 == 0, none)
-        .otherwise(F.col("qty"))
-        .alias("AOP9005"),
-        F.when(mb % 5 == 0, none)
-        .when(mb % 97 == 1, 1.0)
-        .when(mb % 11 == 2, 3.0)
-        .when(mb % 11 == 3, 4.0)
-        .when(mb % 11 == 4, 5.0)
-        .otherwise(2.0)
-        .alias("AOP9002"),
-        F.when(mb % 3 == 0, none).when(mb % 4 == 1, 51.0).otherwise(0.0).alias("AOP9003"),
+    micro, small = "mb % 60 = 2", "mb % 60 = 32"
+    return p.selectExpr(
+        "mb",
+        "year",
+        """CASE WHEN (mb + year) % 17 = 0 THEN NULL
+             WHEN mb % 40 = 0 AND year >= 1999 THEN concat(c_name, ' U STEČAJU')
+             WHEN mb % 40 = 1 AND year >= 1999 THEN concat(c_name, ' U LIKVIDACIJI')
+             WHEN (mb + year) % 3 = 0 THEN upper(c_name) ELSE c_name END AS name""",
+        f"""CASE WHEN {micro} THEN cast(floor(ep / 100) AS double) WHEN {small} THEN ep
+             WHEN (mb + year) % 29 = 0 THEN NULL WHEN (mb + year) % 31 = 0 THEN 0D
+             ELSE ep * 10 END AS AOP1001""",
+        f"""CASE WHEN {micro} THEN cast(floor(ep_n / 500) AS double)
+             WHEN {small} THEN cast(floor(ep_n / 5) AS double)
+             WHEN mb % 50 = 7 THEN ep_n * 20 ELSE ep_n * 2 END AS AOP1025""",
+        f"""CASE WHEN {micro} THEN cast(floor(ep_r / 500) AS double)
+             WHEN {small} THEN cast(floor(ep_r / 5) AS double) ELSE ep_r * 2 END AS AOP1026""",
+        """CASE WHEN year >= 1998 OR mb % 7 < 3 THEN ep * 12 WHEN mb % 3 = 0 THEN 0D
+             WHEN mb % 3 = 1 THEN 1D END AS AOP1043""",
+        f"""CASE WHEN {micro} THEN cast(floor(ep_a / 1000) AS double)
+             WHEN {small} THEN cast(floor(ep_a / 10) AS double)
+             WHEN mb % 50 = 8 THEN ep_a * 20 ELSE ep_a END AS AOP1055""",
+        f"""CASE WHEN {micro} THEN cast(floor(ep_r / 1000) AS double)
+             WHEN {small} THEN cast(floor(ep_r / 10) AS double) ELSE ep_r END AS AOP1064""",
+        f"""CASE WHEN {micro} THEN cast(floor(tp / 100) AS double)
+             WHEN {small} THEN cast(floor(tp / 3) AS double)
+             WHEN year >= 1998 OR mb % 7 > 3 THEN tp * 5 WHEN mb % 2 = 0 THEN 0D END AS AOP59""",
+        f"""CASE WHEN {micro} THEN 5D WHEN {small} THEN 30D WHEN (mb + year) % 23 = 0 THEN NULL
+             ELSE qty END AS AOP9005""",
+        """CASE WHEN mb % 5 = 0 THEN NULL WHEN mb % 97 = 1 THEN 1D WHEN mb % 11 = 2 THEN 3D
+             WHEN mb % 11 = 3 THEN 4D WHEN mb % 11 = 4 THEN 5D ELSE 2D END AS AOP9002""",
+        "CASE WHEN mb % 3 = 0 THEN NULL WHEN mb % 4 = 1 THEN 51D ELSE 0D END AS AOP9003",
     )

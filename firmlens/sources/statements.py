@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 REQUIRED_COLUMNS = ("mb", "year", "name")
@@ -42,24 +42,20 @@ def typed_statements(raw: DataFrame) -> DataFrame:
     if missing:
         raise ValueError(f"missing source columns: {', '.join(missing)}")
     types = dict(raw.dtypes)
-    return raw.select(
+    return raw.selectExpr(
         _cast("mb", types["mb"], "bigint"),
         _cast("year", types["year"], "int"),
         _cast("name", types["name"], "string"),
-        *[
-            F.nanvl(_cast(c, types[c], "double"), F.lit(None).cast("double")).alias(c)
-            for c in MEASURE_COLUMNS
-        ],
+        *[f"nanvl({_cast(c, types[c], 'double')}, NULL) AS {c}" for c in MEASURE_COLUMNS],
     )
 
 
-def _cast(name: str, have: str, want: str) -> Column:
-    column = F.col(name)
+def _cast(name: str, have: str, want: str) -> str:
     if have == want:
-        return column  # no cast, so filters still reach the file scan
-    if have == "string" and want in ("bigint", "int"):
-        column = column.try_cast("double")
-    return column.try_cast(want).alias(name)
+        return name  # no cast, so filters still reach the file scan
+    number = f"try_cast({name} AS double)" if have == "string" and want != "string" else name
+    cast = f"try_cast({number} AS {want})"
+    return cast if want == "double" else f"{cast} AS {name}"
 
 
 def source_profile(raw: DataFrame) -> DataFrame:
