@@ -26,10 +26,7 @@ def exact_medians(rows: DataFrame, keys: list[str], measures: list[str]) -> Data
     `rows` is read once per pass, so it should be a table or cached. The keys must
     have few distinct values (factor levels, years of the window).
     """
-    pairs = ", ".join(f"named_struct('measure', '{m}', 'value', {m})" for m in measures)
-    values = (
-        rows.select(*keys, F.expr(f"inline(array({pairs}))")).where("value IS NOT NULL")
-    )
+    values = rows.unpivot(keys, measures, "measure", "value").where("value IS NOT NULL")
     group = [*keys, "measure"]
     found = _narrow(
         values.selectExpr(

@@ -14,7 +14,7 @@ from firmlens.config import (
 )
 from firmlens.functions import features as fx
 from firmlens.operators.firms import eligible_firms, firm_codes
-from firmlens.operators.rows import panel_metrics, sample_value, scaled, within_margins
+from firmlens.operators.rows import panel_metrics, sample_columns, scaled, within_margins
 from firmlens.operators.skew import attach_by_key
 
 
@@ -26,7 +26,7 @@ def merged_panel(source: DataFrame, cfg: PanelConfig) -> DataFrame:
     """
     firms = eligible_firms(firm_codes(source, cfg), cfg).drop("liquidation")
     rows = panel_metrics(source, cfg).where(within_margins(cfg))
-    joined = attach_by_key(rows, firms, "id", "row_count", cfg.hot_rows).drop("row_count")
+    joined = attach_by_key(rows, firms, ["id"], "row_count", cfg.hot_rows).drop("row_count")
     return with_labels(scaled(joined), cfg)
 
 
@@ -45,12 +45,6 @@ def with_labels(df: DataFrame, cfg: PanelConfig) -> DataFrame:
 
 def regression_sample(panel: DataFrame) -> DataFrame:
     """One row per dependent variable and firm-year in its estimation sample."""
-    observed = ", ".join(
-        f"named_struct('depvar', '{d}', 'y', {sample_value(d)})" for d in DEPENDENT_VARIABLES
-    )
-    keys = ("id", "year", "covid_period", "size", "foreign", "ownership")
-    return (
-        panel.select(*keys, F.expr(f"explode(array({observed}))").alias("s"))
-        .select("s.depvar", "s.y", *keys)
-        .where("y IS NOT NULL")
-    )
+    keys = ["id", "year", "covid_period", "size", "foreign", "ownership"]
+    long = sample_columns(panel).unpivot(keys, list(DEPENDENT_VARIABLES), "depvar", "y")
+    return long.where("y IS NOT NULL").select("depvar", "y", *keys)

@@ -1,13 +1,13 @@
-"""One shuffle from statements to per-firm attributes and regression moments.
+"""Per-firm results of one grouped pass: panel profiles and regression moments.
 
-Everything a report or a model needs to know about a firm is a sum, a maximum or
-a count over the firm's rows, so attributes and panel moments come from the same
+What a report or a model needs to know about a firm is a sum, a maximum or a
+count over the firm's rows, so attributes and panel figures come from the same
 partial aggregation and no firm-year is joined, sorted or demeaned for it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from firmlens.config import DEPENDENT_VARIABLES, PanelConfig
@@ -15,7 +15,7 @@ from firmlens.operators.firms import code_aggregates, eligible_firms
 from firmlens.operators.panel import with_labels
 from firmlens.operators.rows import (
     not_excluded,
-    sample_value,
+    sample_columns,
     scaled,
     statement_rows,
     with_codes,
@@ -24,98 +24,72 @@ from firmlens.operators.rows import (
 )
 
 
-def firm_profiles(source: DataFrame, cfg: PanelConfig, moments: bool = True) -> DataFrame:
+def _rows(source: DataFrame, cfg: PanelConfig) -> DataFrame:
+    """All rows of the window with codes, metrics and the row eligibility flag."""
+    rows = with_metrics(with_codes(statement_rows(source, cfg), cfg), cfg)
+    return rows.where(not_excluded(cfg)).withColumn("eligible", within_margins(cfg))
+
+
+def firm_profiles(source: DataFrame, cfg: PanelConfig) -> DataFrame:
     """Eligible firms with at least one eligible row.
 
-    Columns: id, size, foreign, ownership (labels), row_count (rows in the window),
-    n_obs (eligible rows), n_years (distinct years of those) and, if asked for,
-    `moments`, an array with one struct per dependent variable: counts `n` and sums
-    `s` by period, and the sum of squares `ss` around the firm's mean.
+    Columns: id, size, foreign, ownership (labels), n_obs (eligible rows) and
+    n_years (distinct years of those).
     """
-    rows = with_metrics(with_codes(statement_rows(source, cfg), cfg), cfg)
-    rows = scaled(rows).where(not_excluded(cfg)).withColumn("eligible", within_margins(cfg))
-    aggregates = [
+    firms = _rows(source, cfg).groupBy("id").agg(
         *code_aggregates(),
-        F.expr("count(1) AS row_count"),
         F.expr("count_if(eligible) AS n_obs"),
         F.expr(f"bit_or(CASE WHEN eligible THEN shiftleft(1L, year - {cfg.first_year}) END) AS years"),
-    ]
-    columns = [
-        "id", "size", "foreign", "ownership", "row_count", "n_obs", "bit_count(years) AS n_years"
-    ]
-    if moments:
-        in_model = "eligible AND covid_period IS NOT NULL"
-        rows = rows.withColumns(
-            {
-                _y(i): F.expr(f"CASE WHEN {in_model} THEN {sample_value(d)} END")
-                for i, d in enumerate(DEPENDENT_VARIABLES)
-            }
-        )
-        structs = []
-        for i, depvar in enumerate(DEPENDENT_VARIABLES):
-            aggregates += _moment_aggregates(_y(i), cfg)
-            structs.append(_moment_struct(depvar, _y(i), cfg))
-        columns.append(f"array({', '.join(structs)}) AS moments")
-
-    firms = eligible_firms(rows.groupBy("id").agg(*aggregates), cfg).where("n_obs > 0")
-    return with_labels(firms.selectExpr(*columns), cfg)
-
-
-def _y(position: int) -> str:
-    return f"y{position}"
-
-
-def _periods(cfg: PanelConfig) -> range:
-    return range(1, len(cfg.periods) + 1)
-
-
-def _moment_aggregates(y: str, cfg: PanelConfig) -> list[Column]:
-    texts = [f"var_pop({y}) * count({y}) AS {y}_ss"]
-    for p in _periods(cfg):
-        of_period = f"CASE WHEN covid_period = {p} THEN {y} END"
-        texts.append(f"cast(count({of_period}) AS double) AS {y}_n{p}")
-        texts.append(f"coalesce(sum({of_period}), 0D) AS {y}_s{p}")
-    return [F.expr(text) for text in texts]
-
-
-def _moment_struct(depvar: str, y: str, cfg: PanelConfig) -> str:
-    counts = ", ".join(f"{y}_n{p}" for p in _periods(cfg))
-    sums = ", ".join(f"{y}_s{p}" for p in _periods(cfg))
-    return f"named_struct('depvar', '{depvar}', 'n', array({counts}), 's', array({sums}), 'ss', {y}_ss)"
-
-
-def total_of(array: str, cfg: PanelConfig) -> str:
-    """SQL sum over the periods of one of the moment arrays."""
-    return "(" + " + ".join(f"{array}[{p - 1}]" for p in _periods(cfg)) + ")"
-
-
-def fully_labelled(profiles: DataFrame) -> DataFrame:
-    """Firms whose attributes are all known levels, as a model needs them."""
-    return profiles.where("size IS NOT NULL AND foreign IS NOT NULL AND ownership IS NOT NULL")
+    )
+    panel_firms = eligible_firms(firms, cfg).where("n_obs > 0")
+    return with_labels(
+        panel_firms.selectExpr(
+            "id", "size", "foreign", "ownership", "n_obs", "bit_count(years) AS n_years"
+        ),
+        cfg,
+    )
 
 
-def firm_moments(profiles: DataFrame, cfg: PanelConfig) -> DataFrame:
+def firm_moments(source: DataFrame, cfg: PanelConfig) -> DataFrame:
     """One row per (depvar, firm) in the sample: counts, mean and period deviations.
 
-    For dummy periods p and q: n_p and w_p = sum of y in p minus n_p times the firm
-    mean, and the demeaned period cross product g_pq = n_p [p = q] - n_p n_q / n.
+    With y the dependent variable and p, q dummy periods: n, y_mean, ss = sum of squares
+    around y_mean, n_p, w_p = sum of y in p minus n_p y_mean, and the demeaned period
+    cross product g_pq = n_p [p = q] - n_p n_q / n.
     """
-    keys = ("id", "size", "foreign", "ownership")
-    base = (
-        fully_labelled(profiles)
-        .select(*keys, F.explode("moments").alias("m"))
-        .selectExpr(
-            "m.depvar", *keys, "m.ss", f"{total_of('m.n', cfg)} AS n", f"{total_of('m.s', cfg)} AS y_sum",
-            *[f"m.n[{p}] AS n_{p}" for p in dummies(cfg)],
-            *[f"m.s[{p}] AS s_{p}" for p in dummies(cfg)],
-        )
-        .where("n > 0")
+    sample = sample_columns(
+        scaled(_rows(source, cfg)), "eligible AND covid_period IS NOT NULL"
+    ).unpivot(
+        ["id", "size", "foreign", "ownership", "liquidation", "covid_period"],
+        list(DEPENDENT_VARIABLES),
+        "depvar",
+        "y",
+    )
+    # Rows outside the sample stay, with a NULL y: attributes look at every year.
+    aggregates = [
+        *code_aggregates(),
+        F.expr("cast(count(y) AS double) AS n"),
+        F.expr("sum(y) AS y_sum"),
+        F.expr("var_pop(y) * count(y) AS ss"),
+    ]
+    for p in dummies(cfg):
+        of_period = f"CASE WHEN covid_period = {p + 1} THEN y END"
+        aggregates.append(F.expr(f"cast(count({of_period}) AS double) AS n_{p}"))
+        aggregates.append(F.expr(f"coalesce(sum({of_period}), 0D) AS s_{p}"))
+    firms = eligible_firms(sample.groupBy("id", "depvar").agg(*aggregates), cfg).where("n > 0")
+    # A code that is no level has no label and leaves the model.
+    labelled = with_labels(firms, cfg).where(
+        "size IS NOT NULL AND foreign IS NOT NULL AND ownership IS NOT NULL"
     )
+    counts = [f"n_{p}" for p in dummies(cfg)]
     deviations = [f"s_{p} - n_{p} * (y_sum / n) AS w_{p}" for p in dummies(cfg)]
     products = [
         f"{f'n_{p}' if p == q else '0D'} - n_{p} * n_{q} / n AS g_{p}{q}" for p, q in pairs(cfg)
     ]
-    return base.selectExpr("depvar", *keys, "ss", "n", *deviations, *products)
+    return labelled.selectExpr(
+        "depvar", "id", "size", "foreign", "ownership",
+        "n", "y_sum / n AS y_mean", "ss", *counts, *deviations, *products,
+    )
 
 
 def dummies(cfg: PanelConfig) -> range:

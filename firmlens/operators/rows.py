@@ -107,10 +107,16 @@ def within_margins(cfg: PanelConfig) -> Column:
     )
 
 
-def sample_value(depvar: str) -> str:
-    """SQL of the dependent variable, NULL where the row is not in its estimation sample.
+def sample_columns(rows: DataFrame, in_sample: str = "true") -> DataFrame:
+    """Add one column per dependent variable, NULL where a row is not in its sample.
 
     For the logs the positivity filter acts on the logged value.
     """
-    column, positive = DEPENDENT_VARIABLES[depvar]
-    return f"CASE WHEN {column} > 0 THEN {column} END" if positive else column
+    return rows.withColumns(
+        {
+            depvar: F.expr(
+                f"CASE WHEN {in_sample} {f'AND {column} > 0' if positive else ''} THEN {column} END"
+            )
+            for depvar, (column, positive) in DEPENDENT_VARIABLES.items()
+        }
+    )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def attach_by_key(
-    rows: DataFrame, per_key: DataFrame, key: str, weight: str, hot_rows: int
+    rows: DataFrame, per_key: DataFrame, keys: list[str], weight: str, hot_rows: int
 ) -> DataFrame:
     """Inner join `rows` to the unique-keyed `per_key`, whose `weight` counts rows per key.
 
@@ -18,13 +18,13 @@ def attach_by_key(
     `hot_rows` rows.
     """
     pieces = f"cast(ceil({weight} / {hot_rows}D) AS int)"
-    hot = per_key.where(f"{weight} > {hot_rows}").selectExpr(key, f"{pieces} AS _pieces")
+    hot = per_key.where(f"{weight} > {hot_rows}").selectExpr(*keys, f"{pieces} AS _pieces")
     salted = (
-        rows.join(F.broadcast(hot), key, "left")
+        rows.join(F.broadcast(hot), keys, "left")
         .withColumn("_salt", F.expr("pmod(spark_partition_id(), coalesce(_pieces, 1))"))
         .drop("_pieces")
     )
     repeated = per_key.withColumn(
         "_salt", F.expr(f"explode(sequence(0, greatest({pieces}, 1) - 1))")
     )
-    return salted.join(repeated, [key, "_salt"]).drop("_salt")
+    return salted.join(repeated, [*keys, "_salt"]).drop("_salt")

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import functions as F
 
 from firmlens.config import DEPENDENT_VARIABLES, PanelConfig
-from firmlens.operators.profile import fully_labelled, total_of
+from firmlens.operators.profile import dummies
 from firmlens.operators.regression import Term, model_terms
-from firmlens.operators.rows import panel_metrics, sample_value, scaled, within_margins
+from firmlens.operators.rows import panel_metrics, sample_columns, scaled, within_margins
 from firmlens.operators.skew import attach_by_key
 
 
@@ -28,35 +29,35 @@ def _of_level(t: Term, value: str) -> str:
     return f"{value} AS {t.column}"
 
 
-def within_transform(source: DataFrame, profiles: DataFrame, cfg: PanelConfig) -> DataFrame:
+def within_transform(source: DataFrame, moments: DataFrame, cfg: PanelConfig) -> DataFrame:
     """Sample rows of every model with y and regressors minus their firm means.
 
-    Means come from the counts and sums in the firm profiles, so rows meet their
-    firm once for all models; the firm mean of (period p) x (level z) is z n_p / n.
+    The means come from the firm moments, one set per model, so rows meet their firm
+    once and are laid out by model afterwards. The firm mean of (period p) x
+    (level z) is z n_p / n.
     """
-    values = ", ".join(sample_value(d) for d in DEPENDENT_VARIABLES)
-    rows = (
-        scaled(panel_metrics(source, cfg).where(within_margins(cfg)))
-        .where("covid_period IS NOT NULL")
-        .selectExpr("id", "year", "covid_period", f"array({values}) AS y")
+    means = ["n", "y_mean", *[f"n_{p}" for p in dummies(cfg)]]
+    firms = moments.groupBy("id", "size", "foreign", "ownership").agg(
+        F.expr(f"collect_list(struct(depvar, {', '.join(means)})) AS means"),
+        F.expr("cast(max(n) AS bigint) AS n_obs"),
     )
-    firms = fully_labelled(profiles).drop("n_obs", "n_years")
-    joined = attach_by_key(rows, firms, "id", "row_count", cfg.hot_rows)
-    sample = joined.select("*", F.expr("explode(arrays_zip(y, moments)) AS s")).where(
-        "s.y IS NOT NULL"
+    rows = sample_columns(
+        scaled(panel_metrics(source, cfg).where(within_margins(cfg))), "covid_period IS NOT NULL"
+    ).select("id", "year", "covid_period", *DEPENDENT_VARIABLES)
+    joined = attach_by_key(rows, firms, ["id"], "n_obs", cfg.hot_rows)
+    y = " ".join(f"WHEN '{d}' THEN {d}" for d in DEPENDENT_VARIABLES)
+    sample = (
+        joined.select("*", F.expr("inline(means)"))
+        .withColumn("y", F.expr(f"CASE depvar {y} END"))
+        .where("y IS NOT NULL")
     )
-    n = total_of("s.moments.n", cfg)
-    y_sum = total_of("s.moments.s", cfg)
     return sample.selectExpr(
-        "s.moments.depvar AS depvar",
+        "depvar",
         "id",
         "year",
-        f"s.y - try_divide({y_sum}, {n}) AS y",
+        "y - y_mean AS y",
         *[
-            _of_level(
-                t,
-                f"cast(covid_period = {t.period + 1} AS double) - try_divide(s.moments.n[{t.period}], {n})",
-            )
+            _of_level(t, f"cast(covid_period = {t.period + 1} AS double) - n_{t.period} / n")
             for t in model_terms(cfg)
         ],
     )

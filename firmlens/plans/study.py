@@ -29,11 +29,11 @@ class PanelStudy:
         self.spark = source.sparkSession
 
     def materialized(self) -> PanelStudy:
-        """The same study with its three intermediate tables written once."""
+        """The same study with its intermediate tables written once."""
         study = PanelStudy(self.source, self.cfg)
         study.firms = materialize(self.firms, "firms")
-        study.model_profiles = materialize(self.model_profiles, "profiles")
-        study.profiles = study.model_profiles
+        study.profiles = materialize(self.profiles, "profiles")
+        study.moments = materialize(self.moments, "moments")
         study.panel = materialize(self.panel, "panel")
         study.measures = study.panel
         return study
@@ -46,10 +46,6 @@ class PanelStudy:
 
     @cached_property
     def profiles(self) -> DataFrame:
-        return profile.firm_profiles(self.source, self.cfg, moments=False)
-
-    @cached_property
-    def model_profiles(self) -> DataFrame:
         return profile.firm_profiles(self.source, self.cfg)
 
     @cached_property
@@ -64,7 +60,7 @@ class PanelStudy:
 
     @cached_property
     def moments(self) -> DataFrame:
-        return profile.firm_moments(self.model_profiles, self.cfg)
+        return profile.firm_moments(self.source, self.cfg)
 
     @cached_property
     def fits(self) -> list[regression.Fit]:
@@ -158,7 +154,7 @@ class PanelStudy:
         return within.design_matrix(self.panel, self.cfg)
 
     def within_transform(self) -> DataFrame:
-        return within.within_transform(self.source, self.model_profiles, self.cfg)
+        return within.within_transform(self.source, self.moments, self.cfg)
 
     def within_moments(self) -> DataFrame:
         return regression.moment_table(self.spark, self.fits, self.cfg)
