@@ -49,7 +49,12 @@ def firm_attributes(source: DataFrame, cfg: PanelConfig) -> DataFrame:
 
 
 def eligible_firms(firms: DataFrame, cfg: PanelConfig) -> DataFrame:
-    """Going concerns above the size floor, without the excluded ownership type."""
+    """Going concerns above the size floor, without the excluded ownership type.
+
+    `foreign` is never NULL; naming it keeps the columns of every reader of this
+    filter equal, so that Spark runs the firm aggregation behind it only once.
+    """
     return firms.where(
-        f"NOT liquidation AND size > {cfg.size_above} AND ownership != {cfg.excluded_ownership}"
+        f"NOT liquidation AND size > {cfg.size_above} "
+        f"AND ownership != {cfg.excluded_ownership} AND foreign IS NOT NULL"
     )

@@ -33,7 +33,7 @@ class PanelStudy:
         study = PanelStudy(self.source, self.cfg)
         study.firms = materialize(self.firms, "firms")
         study.profiles = materialize(self.profiles, "profiles")
-        study.moments = materialize(self.moments, "moments")
+        study.moment_rows = self.moment_rows
         study.panel = materialize(self.panel, "panel")
         study.measures = study.panel
         return study
@@ -62,9 +62,15 @@ class PanelStudy:
     def moments(self) -> DataFrame:
         return profile.firm_moments(self.source, self.cfg)
 
+    @cached_property
+    def moment_rows(self) -> DataFrame:
+        """The firm moments written once, for reports that read them more than once."""
+        return materialize(self.moments, "moments")
+
     @cached_property
     def fits(self) -> list[regression.Fit]:
-        return regression.fit_models(self.moments, self.cfg)
+        moments = self.__dict__.get("moment_rows", self.moments)
+        return regression.fit_models(moments, self.cfg)
 
     # Source and firms
 
@@ -154,7 +160,7 @@ class PanelStudy:
         return within.design_matrix(self.panel, self.cfg)
 
     def within_transform(self) -> DataFrame:
-        return within.within_transform(self.source, self.moments, self.cfg)
+        return within.within_transform(self.source, self.moment_rows, self.cfg)
 
     def within_moments(self) -> DataFrame:
         return regression.moment_table(self.spark, self.fits, self.cfg)
@@ -163,7 +169,7 @@ class PanelStudy:
         return regression.aliased_table(self.spark, self.fits, self.cfg)
 
     def firm_scores(self) -> DataFrame:
-        return regression.firm_scores(self.moments, self.fits, self.cfg)
+        return regression.firm_scores(self.moment_rows, self.fits, self.cfg)
 
     def fe_cluster_cov(self) -> DataFrame:
         return regression.covariance_table(self.spark, self.fits, self.cfg)
