@@ -7,6 +7,8 @@ not the moment formulas of the Spark plan.
 
 from __future__ import annotations
 
+from functools import partial
+
 from firmlens.config import (
     ASSET_LIMITS_EUR,
     DEPENDENT_VARIABLES,
@@ -16,10 +18,9 @@ from firmlens.config import (
     REVENUE_LIMITS_EUR,
     SIZE_LEVELS,
     STAND_IN,
+    PanelConfig,
 )
 
-CFG = STAND_IN
-
 _STAND_IN_CTES = {
     "li": """
   SELECT o_custkey AS mb, CAST(year(o_orderdate) AS INT) AS yr,
@@ -97,7 +98,7 @@ def _number_text(expression: str) -> str:
     return f"regexp_replace({rounded}, '\\.0$', '')"
 
 
-def _votes(band: int) -> str:
+def _votes(cfg: PanelConfig, band: int) -> str:
     def inside(column: str, limits) -> str:
         parts = []
         if band > 0:
@@ -107,66 +108,66 @@ def _votes(band: int) -> str:
         return f"CAST({' AND '.join(parts)} AS INT)"
 
     employees = [f"{float(x)}E0" for x in EMPLOYEE_LIMITS]
-    revenue = [f"{x * CFG.eur}E0" for x in REVENUE_LIMITS_EUR]
-    assets = [f"{x * CFG.eur}E0" for x in ASSET_LIMITS_EUR]
+    revenue = [f"{x * cfg.eur}E0" for x in REVENUE_LIMITS_EUR]
+    assets = [f"{x * cfg.eur}E0" for x in ASSET_LIMITS_EUR]
     return " + ".join(
         [inside("AOP9005", employees), inside("AOP1001", revenue), inside("AOP59", assets)]
     )
 
 
-def _period(year: str, result) -> str:
+def _period(cfg: PanelConfig, year: str, result) -> str:
     whens = " ".join(
         f"WHEN {year} BETWEEN {first} AND {last} THEN {_quoted(result(i, label))}"
-        for i, (label, first, last) in enumerate(CFG.periods, start=1)
+        for i, (label, first, last) in enumerate(cfg.periods, start=1)
     )
     return f"CASE {whens} END"
 
 
-_LIQUIDATION = " OR ".join(f"contains(name, '{text}')" for text in CFG.liquidation_pattern.split("|"))
-
-_PANEL_CTES = {
-    "frows": f"""
+def _panel_ctes(cfg: PanelConfig) -> dict[str, str]:
+    liquidation = " OR ".join(f"contains(name, '{t}')" for t in cfg.liquidation_pattern.split("|"))
+    return {
+        "frows": f"""
   SELECT mb, year, name, AOP9005, AOP1001, AOP59,
     CASE WHEN AOP9005 IS NULL OR AOP1001 IS NULL OR AOP59 IS NULL THEN 3
-         WHEN {_votes(0)} >= 2 THEN 1 WHEN {_votes(1)} >= 2 THEN 2
-         WHEN {_votes(2)} >= 2 THEN 3 WHEN {_votes(3)} >= 2 THEN 4 ELSE 3 END AS size,
+         WHEN {_votes(cfg, 0)} >= 2 THEN 1 WHEN {_votes(cfg, 1)} >= 2 THEN 2
+         WHEN {_votes(cfg, 2)} >= 2 THEN 3 WHEN {_votes(cfg, 3)} >= 2 THEN 4 ELSE 3 END AS size,
     AOP9003 IS NOT NULL AND AOP9003 > 0 AS is_foreign,
     CAST(coalesce(AOP9002, 2) AS INT) AS ownership,
-    name IS NOT NULL AND ({_LIQUIDATION}) AS liquidation
-  FROM panel WHERE year > {CFG.year_after} AND year < {CFG.year_before}""",
-    "firms": f"""
+    name IS NOT NULL AND ({liquidation}) AS liquidation
+  FROM panel WHERE year > {cfg.year_after} AND year < {cfg.year_before}""",
+        "firms": f"""
   SELECT mb AS id, max(size) AS size, max(CAST(is_foreign AS INT)) AS is_foreign,
          max(ownership) AS ownership, bool_or(liquidation) AS liquidation
-  FROM frows WHERE mb <> {CFG.excluded_id} GROUP BY mb""",
-    "metrics0": f"""
+  FROM frows WHERE mb <> {cfg.excluded_id} GROUP BY mb""",
+        "metrics0": f"""
   SELECT mb AS id, year, AOP1001 AS operating_revenue, AOP1043 AS total_revenue,
     AOP1025 AS operating_income, AOP1026 AS operating_loss, AOP1055 AS net_income,
     AOP1064 AS net_loss, AOP59 AS assets,
     coalesce(AOP1025, 0.0E0) - coalesce(AOP1026, 0.0E0) AS operating_result,
     coalesce(AOP1055, 0.0E0) - coalesce(AOP1064, 0.0E0) AS net_result
-  FROM panel WHERE year > {CFG.year_after} AND year < {CFG.year_before}""",
-    "metrics": f"""
+  FROM panel WHERE year > {cfg.year_after} AND year < {cfg.year_before}""",
+        "metrics": f"""
   SELECT *, CASE WHEN operating_revenue <> 0 THEN operating_result / operating_revenue END AS operating_margin,
     CASE WHEN operating_revenue <> 0 THEN net_result / operating_revenue END AS net_margin,
     CASE WHEN operating_revenue > 0 THEN ln(operating_revenue) END AS log_operating_revenue,
     CASE WHEN total_revenue > 0 THEN ln(total_revenue) END AS log_total_revenue,
-    CAST({_period("year", lambda i, _: i)} AS INT) AS covid_period
+    CAST({_period(cfg, "year", lambda i, _: i)} AS INT) AS covid_period
   FROM metrics0""",
-    "merged": f"""
+        "merged": f"""
   SELECT m.* EXCLUDE (covid_period),
     m.operating_revenue / 1000 AS operating_revenue_mil, m.total_revenue / 1000 AS total_revenue_mil,
     m.assets / 1000 AS assets_mil, m.operating_margin * 100 AS operating_margin_pct,
     m.net_margin * 100 AS net_margin_pct,
-    {_period("m.year", lambda _, label: label)} AS covid_period,
+    {_period(cfg, "m.year", lambda _, label: label)} AS covid_period,
     {_label("f.size", SIZE_LEVELS)} AS size, {_label("f.is_foreign", FOREIGN_LEVELS)} AS "foreign",
     {_label("f.ownership", OWNERSHIP_LEVELS)} AS ownership
   FROM metrics m LEFT JOIN firms f ON m.id = f.id
-  WHERE NOT f.liquidation AND f.size > {CFG.size_above} AND f.ownership <> {CFG.excluded_ownership}
-    AND abs(m.operating_margin) < {CFG.margin_bound} AND abs(m.net_margin) < {CFG.margin_bound}""",
-    "per_firm": """
+  WHERE NOT f.liquidation AND f.size > {cfg.size_above} AND f.ownership <> {cfg.excluded_ownership}
+    AND abs(m.operating_margin) < {cfg.margin_bound} AND abs(m.net_margin) < {cfg.margin_bound}""",
+        "per_firm": """
   SELECT id, min(size) AS size, min("foreign") AS "foreign", min(ownership) AS ownership,
          count(DISTINCT year) AS n_years FROM merged GROUP BY id""",
-}
+    }
 
 # Slopes as (period, attribute column, level): the twelve of the model, in order.
 _TERMS = [
@@ -288,9 +289,8 @@ _COLUMNS = "columns(i, col) AS (VALUES " + ", ".join(
 ) + ")"
 
 
-def _statement(final: str, upto: str, extra: str = "") -> str:
+def _chained(ctes: dict[str, str], final: str, upto: str, extra: str = "") -> str:
     """The CTE chain up to and including `upto`, then the final query."""
-    ctes = {**_STAND_IN_CTES, **_PANEL_CTES, **_MODEL_CTES}
     chain = []
     for name, text in ctes.items():
         chain.append(f"{name} AS MATERIALIZED ({text})")
@@ -336,7 +336,13 @@ SELECT depvar, term, {_significant("v")} AS within_ss,
 FROM ({rows})"""
 
 
-def statements() -> dict[str, str]:
+def statements(cfg: PanelConfig = STAND_IN, source: dict[str, str] | None = None) -> dict[str, str]:
+    """SQL of every report with a counterpart.
+
+    `source` names the CTEs that end in `panel`; by default the stand-in panel.
+    """
+    ctes = {**(source or _STAND_IN_CTES), **_panel_ctes(cfg), **_MODEL_CTES}
+    _statement = partial(_chained, ctes)
     size_names = "CASE size WHEN 1 THEN 'Micro' WHEN 2 THEN 'Small' WHEN 3 THEN 'Medium' WHEN 4 THEN 'Large' END"
     metric_columns = """id, year, operating_revenue, total_revenue, operating_income, operating_loss,
   net_income, net_loss, assets, operating_result, net_result, operating_margin, net_margin,
@@ -370,7 +376,7 @@ FROM (SELECT size, count(*) AS n, CAST(sum(count(*)) OVER () AS BIGINT) AS total
             ("op_margin", "operating_margin_pct"),
         )
     )
-    first, last = CFG.ownership_asset_years
+    first, last = cfg.ownership_asset_years
     dummies = ", ".join(f"{_dummy(*t)} AS {_term_column(*t)}" for t in _TERMS)
     within = ", ".join(f"round(x{i}, 6) + 0.0E0 AS {_term_column(*t)}" for i, t in enumerate(_TERMS))
     scores = ", ".join(
@@ -413,7 +419,7 @@ FROM firms f LEFT JOIN (
             size_counts("WHERE liquidation", "liquidated_firms"), "firms"
         ),
         "covid_period": _statement(
-            f"SELECT id, year, covid_period, {_period('year', lambda _, label: label)} AS period_label FROM metrics",
+            f"SELECT id, year, covid_period, {_period(cfg, 'year', lambda _, label: label)} AS period_label FROM metrics",
             "metrics",
         ),
         "panel_metrics": _statement(f"SELECT {metric_columns} FROM metrics", "metrics"),
@@ -445,7 +451,7 @@ FROM firms f LEFT JOIN (
             "per_firm",
         ),
         "balanced_firms": _statement(
-            f"SELECT count(*) AS balanced_firms FROM per_firm WHERE n_years = {CFG.n_years} HAVING count(*) > 0",
+            f"SELECT count(*) AS balanced_firms FROM per_firm WHERE n_years = {cfg.n_years} HAVING count(*) > 0",
             "per_firm",
         ),
         "panel_key_check": _statement(
