@@ -13,20 +13,20 @@ from firmlens.config import (
     PanelConfig,
 )
 from firmlens.functions import features as fx
-from firmlens.operators.firms import eligible_firms, firm_codes
+from firmlens.operators.firms import eligible_firms
 from firmlens.operators.rows import panel_metrics, sample_columns, scaled, within_margins
 from firmlens.operators.skew import attach_by_key
 
 
-def merged_panel(source: DataFrame, cfg: PanelConfig) -> DataFrame:
+def merged_panel(source: DataFrame, firms: DataFrame, cfg: PanelConfig) -> DataFrame:
     """Eligible firm-years, each with the attributes of its eligible firm.
 
-    Attributes are matched many to one. A firm without attributes (excluded or
+    `firms` is the result of `firm_codes`, matched many to one. A firm without attributes (excluded or
     NULL id) would fail the eligibility filter, so the join is an inner one.
     """
-    firms = eligible_firms(firm_codes(source, cfg), cfg).drop("liquidation")
+    attributes = eligible_firms(firms, cfg).drop("liquidation")
     rows = panel_metrics(source, cfg).where(within_margins(cfg))
-    joined = attach_by_key(rows, firms, ["id"], "row_count", cfg.hot_rows).drop("row_count")
+    joined = attach_by_key(rows, attributes, ["id"], "row_count", cfg.hot_rows).drop("row_count")
     return with_labels(scaled(joined), cfg)
 
 

@@ -289,6 +289,21 @@ _COLUMNS = "columns(i, col) AS (VALUES " + ", ".join(
 ) + ")"
 
 
+# Two-sided Student-t tail by Simpson's rule: with t = sqrt(df) tan(a) the density is
+# proportional to cos(a)^(df-1), and 12 / sqrt(df) beyond the start nothing is left.
+_STEPS = 4000
+_TAILS = f"""tails AS (
+  SELECT depvar, term, 2 * exp(lgamma((df + 1) / 2.0E0) - lgamma(df / 2.0E0) - 0.5E0 * ln(pi()))
+    * sum(CASE WHEN s IN (0, {_STEPS}) THEN 1 WHEN s % 2 = 1 THEN 4 ELSE 2 END
+          * exp((df - 1) * ln(cos(a0 + s * h)))) * h / 3 AS p
+  FROM (SELECT *, (least(pi() / 2, a0 + 12 / sqrt(df)) - a0) / {_STEPS} AS h
+        FROM (SELECT b.depvar, n.term, f.df, atan(abs(b.b / sqrt(c.v)) / sqrt(f.df)) AS a0
+              FROM beta b JOIN cov c ON c.depvar = b.depvar AND c.i = b.i AND c.j = b.i
+              JOIN fits f ON f.depvar = b.depvar JOIN names n ON n.i = b.i)),
+       generate_series(0, {_STEPS}) AS steps(s)
+  GROUP BY depvar, term, df, a0, h)"""
+
+
 def _chained(ctes: dict[str, str], final: str, upto: str, extra: str = "") -> str:
     """The CTE chain up to and including `upto`, then the final query."""
     chain = []
@@ -516,4 +531,12 @@ FROM beta b JOIN cov c ON c.depvar = b.depvar AND c.i = b.i AND c.j = b.i JOIN n
             "cov",
             _NAMES,
         ),
+        "fe_coef_tests": _statement(
+            f"""SELECT depvar, term, {_significant("p")} AS p_value,
+  CASE WHEN p <= 0.001 THEN '***' WHEN p <= 0.01 THEN '**' WHEN p <= 0.05 THEN '*'
+       WHEN p <= 0.1 THEN '.' ELSE '' END AS stars
+FROM tails""",
+            "cov",
+            f"{_NAMES}, {_TAILS}",
+        ),
     }

@@ -34,7 +34,7 @@ class PanelStudy:
         study.firms = materialize(self.firms, "firms")
         study.profiles = materialize(self.profiles, "profiles")
         study.moment_rows = self.moment_rows
-        study.panel = materialize(self.panel, "panel")
+        study.panel = materialize(study.panel, "panel")  # joins the written firms
         study.measures = study.panel
         return study
 
@@ -50,7 +50,7 @@ class PanelStudy:
 
     @cached_property
     def panel(self) -> DataFrame:
-        return panel.merged_panel(self.source, self.cfg)
+        return panel.merged_panel(self.source, self.firms, self.cfg)
 
     @cached_property
     def measures(self) -> DataFrame:
