@@ -66,13 +66,16 @@ def mapped(
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 for columns in work(batch.slice(at, rows)):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(columns[f.name], type=f.type) for f in arrow], schema=arrow
-                    )
+                    arrays = [_array(columns[f.name], f.type) for f in arrow]
+                    yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
     return df.mapInArrow(run, schema)
 
 
+def _array(values, kind: pa.DataType) -> pa.Array:
+    return values.cast(kind) if isinstance(values, pa.Array) else pa.array(values, type=kind)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of an undirected graph given as (src, dst); component: smallest node.
 
