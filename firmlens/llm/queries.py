@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firmlens.llm import ann, embed_dedup, mixing, oracle, packing, secret_scan, sharding
+from firmlens.llm import (
+    ann,
+    embed_dedup,
+    mixing,
+    oracle,
+    packing,
+    quality,
+    secret_scan,
+    sharding,
+    toxicity,
+)
 from firmlens.llm.common import table
 
 
@@ -19,6 +29,16 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (table(spark, sf_dir, n) for n in ("documents", "labels"))
+    return toxicity.score_documents(docs, labels)
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (table(spark, sf_dir, n) for n in ("documents", "labels"))
+    return quality.score_documents(docs, labels)
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -40,6 +60,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_embed_dedup": op1_embed_dedup,
         "op2_sharding": op2_sharding,
+        "op3_toxicity": op3_toxicity,
+        "op4_quality": op4_quality,
         "op5_packing": op5_packing,
         "op6_mixing": op6_mixing,
         "op7_ann": op7_ann,
