@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from firmlens.llm.boosting import sigmoid
 from firmlens.llm.common import fold, mapped, word_hashes, words
 from firmlens.llm.labelled import fitting_sample, report
+from firmlens.llm.vectors import matrix
 from firmlens.sources.sinks import materialize, release
 
 
@@ -222,7 +223,7 @@ def train(
     ).toArrow()
     seen = seen.sort_by([("doc_id", "ascending")])
     release(sample)
-    x = np.array(seen["x"].to_pylist(), float).reshape(seen.num_rows, -1)
+    x = matrix(seen["x"])
     return QualityModel(vectors, x, (seen["y"].to_numpy() > 0).astype(float))
 
 

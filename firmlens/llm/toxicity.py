@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from firmlens.llm.boosting import BoostConfig, BoostedTrees, Isotonic
 from firmlens.llm.common import fold, fresh, mapped
 from firmlens.llm.labelled import fitting_sample, report, with_scores
+from firmlens.llm.vectors import matrix
 from firmlens.sources.sinks import materialize, release
 
 # Common insults and threats, and words of the second person.
@@ -222,7 +223,7 @@ def train(
     seen = mapped(rest, f"doc_id {kind}, x array<double>, y int", measure).toArrow()
     seen = seen.sort_by([("doc_id", "ascending")])
     release(sample)
-    x = np.array(seen["x"].to_pylist(), float).reshape(seen.num_rows, -1)
+    x = matrix(seen["x"])
     return ToxicityModel(features, x, (seen["y"].to_numpy() > 0).astype(float))
 
 
