@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from firmlens.llm import (
     ann,
     embed_dedup,
+    minhash_join,
     mixing,
     oracle,
     packing,
@@ -56,6 +57,12 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(table(spark, sf_dir, "documents"))
 
 
+def op9_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = minhash_join.near_duplicates(docs, minhash_join.JoinConfig(shingle=2))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_embed_dedup": op1_embed_dedup,
@@ -66,6 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_mixing": op6_mixing,
         "op7_ann": op7_ann,
         "op8_secret_scan": op8_secret_scan,
+        "op9_minhash_join": op9_minhash_join,
     }
 
 
