@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from firmlens.llm.common import key_bits, word_count
+from firmlens.llm.common import fresh, key_bits, word_count
 from firmlens.sources.sinks import materialize, release
 
 #: Key bits below each level: buckets of 12 bits, then 16 bits, then single keys.
@@ -45,7 +45,46 @@ def mix(
     are taken together. An empty table gives no rows. Other columns are not looked at.
     """
     cfg = cfg or MixConfig()
-    sized = materialize(
+    sized = _sized(docs, id_column, text_column, source_column)
+    limits = _limits(sized, cfg)
+    taken = F.expr(f"size * ({TIMES})")
+    return (
+        sized.join(limits, sized.source.eqNullSafe(limits.of))
+        .withColumn("taken", taken)
+        .select("doc_id", "source", "size", "source_size", "target", "taken")
+    )
+
+
+def apply_mix(
+    docs: DataFrame,
+    cfg: MixConfig | None = None,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    source_column: str = "source",
+) -> DataFrame:
+    """The rows of `docs`, each as often as the mix takes it: not at all, once or more often.
+
+    How often follows from a row's source and id, so that rows only meet the table of sources.
+    """
+    sized = _sized(docs, id_column, text_column, source_column)
+    limits = _limits(sized, cfg or MixConfig())
+    limits = limits.select(F.struct("of", "whole", "threshold").alias(fresh(docs, "limit")))
+    release(sized)
+    limit, key, turn = limits.columns[0], fresh(docs, "key"), fresh(docs, "turn")
+    times = f"cast({limit}.whole + IF({key} <= coalesce({limit}.threshold, -1), 1, 0) AS int)"
+    met = docs.withColumn(key, key_bits(id_column)).join(
+        limits, docs[source_column].eqNullSafe(limits[limit]["of"])
+    )
+    repeated = met.withColumn(turn, F.explode(F.expr(f"array_repeat(0, {times})")))
+    return repeated.select(*docs.columns)
+
+
+#: How often a document is taken.
+TIMES = "whole + IF(key <= coalesce(threshold, -1), 1, 0)"
+
+
+def _sized(docs: DataFrame, id_column: str, text_column: str, source_column: str) -> DataFrame:
+    return materialize(
         docs.select(
             F.col(id_column).alias("doc_id"),
             F.col(source_column).alias("source"),
@@ -54,14 +93,11 @@ def mix(
         ),
         "mix_sizes",
     )
+
+
+def _limits(sized: DataFrame, cfg: MixConfig) -> DataFrame:
     goals = materialize(source_targets(sized, cfg), "mix_targets")
-    limits = materialize(thresholds(sized, goals), "mix_thresholds")
-    taken = F.expr("size * (whole + IF(key <= coalesce(threshold, -1), 1, 0))")
-    return (
-        sized.join(limits, sized.source.eqNullSafe(limits.of))
-        .withColumn("taken", taken)
-        .select("doc_id", "source", "size", "source_size", "target", "taken")
-    )
+    return materialize(thresholds(sized, goals), "mix_thresholds")
 
 
 def source_targets(sized: DataFrame, cfg: MixConfig) -> DataFrame:

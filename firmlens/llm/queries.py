@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from firmlens.llm import (
     ann,
     embed_dedup,
+    lm_score,
     minhash_join,
     mixing,
     oracle,
@@ -63,6 +64,16 @@ def op9_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_documents(table(spark, sf_dir, "documents"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_embed_dedup": op1_embed_dedup,
@@ -74,6 +85,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_ann": op7_ann,
         "op8_secret_scan": op8_secret_scan,
         "op9_minhash_join": op9_minhash_join,
+        "op10_lm_score": op10_lm_score,
+        "pipeline": pipeline,
     }
 
 

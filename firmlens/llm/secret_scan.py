@@ -148,6 +148,15 @@ def redact(
     return docs.withColumn(text_column, masked(text_column))
 
 
+def mask_documents(docs: DataFrame, text_column: str = "text") -> DataFrame:
+    """`redact` for a documents table: n_chars is counted again where the text changed."""
+    old = fresh(docs, "old_text")
+    masked = redact(docs.withColumn(old, F.col(text_column)), text_column)
+    changed = ~F.col(text_column).eqNullSafe(F.col(old))
+    length = F.length(text_column).cast(docs.schema["n_chars"].dataType)
+    return masked.withColumn("n_chars", F.when(changed, length).otherwise(F.col("n_chars"))).drop(old)
+
+
 def _masked(text: str, spans: list, mask: str) -> str:
     parts, done = [], 0
     for _, start, end, _ in spans:
