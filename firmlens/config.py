@@ -60,12 +60,14 @@ class PanelConfig:
     hc1_k: str = "slopes"
     # A firm with more rows than this is split over several join tasks.
     hot_rows: int = 1_000_000
+    # What a repeated (firm, year) key does to the models: "allow" or "refuse".
+    duplicate_keys: str = "allow"
 
     def __post_init__(self):
-        if self.year_before - self.year_after - 1 > 62:
-            raise ValueError("the year window must fit a 62-bit year mask")
         if self.hc1_k not in ("slopes", "slopes+firms"):
             raise ValueError("hc1_k must be 'slopes' or 'slopes+firms'")
+        if self.duplicate_keys not in ("allow", "refuse"):
+            raise ValueError("duplicate_keys must be 'allow' or 'refuse'")
 
     @property
     def first_year(self) -> int:

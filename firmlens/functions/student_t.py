@@ -13,20 +13,27 @@ def two_sided_p(t: float, df: float) -> float:
         return 0.0
     if t == 0.0:
         return 1.0
+    if df > 1e7:
+        # The normal tail and the first term in 1/df; the fraction below would lose digits.
+        density = math.exp(-t * t / 2) / math.sqrt(2 * math.pi)
+        return math.erfc(abs(t) / math.sqrt(2)) + density * (abs(t) ** 3 + abs(t)) / (2 * df)
     a, b = df / 2.0, 0.5
     x, y = df / (df + t * t), t * t / (df + t * t)
     log_front = (
-        math.lgamma(a + b)
-        - math.lgamma(a)
-        - math.lgamma(b)
-        + a * math.log(x)
-        + b * math.log(y)
+        _log_gamma_step(a) - math.lgamma(b) - a * math.log1p(t * t / df) + b * math.log(y)
     )
     if x < (a + 1.0) / (a + b + 2.0):
         return math.exp(log_front) * _beta_fraction(a, b, x) / a
     return 1.0 - math.exp(log_front) * _beta_fraction(b, a, y) / b
 
 
+def _log_gamma_step(a: float) -> float:
+    """log gamma(a + 1/2) - log gamma(a); a series where the two would cancel."""
+    if a < 1e4:
+        return math.lgamma(a + 0.5) - math.lgamma(a)
+    return 0.5 * math.log(a) - 1 / (8 * a) + 1 / (192 * a**3)
+
+
 def _beta_fraction(a: float, b: float, x: float) -> float:
     """Continued fraction of the incomplete beta function (modified Lentz method)."""
     tiny = 1e-300

@@ -39,17 +39,30 @@ def firm_profiles(source: DataFrame, cfg: PanelConfig) -> DataFrame:
     firms = _rows(source, cfg).groupBy("id").agg(
         *code_aggregates(),
         F.expr("count_if(eligible) AS n_obs"),
-        F.expr(f"bit_or(CASE WHEN eligible THEN shiftleft(1L, year - {cfg.first_year}) END) AS years"),
+        *year_masks(cfg),
     )
+    masks = range(len(year_masks(cfg)))
+    counted = " + ".join(f"coalesce(bit_count(years_{m}), 0)" for m in masks)
     panel_firms = eligible_firms(firms, cfg).where("n_obs > 0")
     return with_labels(
         panel_firms.selectExpr(
-            "id", "size", "foreign", "ownership", "n_obs", "bit_count(years) AS n_years"
+            "id", "size", "foreign", "ownership", "n_obs", f"{counted} AS n_years"
         ),
         cfg,
     )
 
 
+def year_masks(cfg: PanelConfig) -> list[F.Column]:
+    """Distinct years as bits, in one mask per 60 years of the window."""
+    return [
+        F.expr(
+            f"bit_or(CASE WHEN eligible AND year BETWEEN {first} AND {first + 59} "
+            f"THEN shiftleft(1L, year - {first}) END) AS years_{m}"
+        )
+        for m, first in enumerate(range(cfg.first_year, cfg.year_before, 60))
+    ]
+
+
 def firm_moments(source: DataFrame, cfg: PanelConfig) -> DataFrame:
     """One row per (depvar, firm) in the sample: counts, mean and period deviations.
 

@@ -12,16 +12,18 @@ def attach_by_key(
     """Inner join `rows` to the unique-keyed `per_key`, whose `weight` counts rows per key.
 
     A key with more than `hot_rows` rows is split over weight / hot_rows join
-    partitions: its rows get a salt from the scan partition they are in and its
-    `per_key` row is repeated once per salt. The broadcast list of hot keys has at
+    partitions: its rows get a salt from a hash of their other columns, so that they
+    spread however the input is partitioned, and its `per_key` row is repeated once per salt. The broadcast list of hot keys has at
     most (all rows / hot_rows) entries, since each of them stands for more than
     `hot_rows` rows.
     """
     pieces = f"cast(ceil({weight} / {hot_rows}D) AS int)"
     hot = per_key.where(f"{weight} > {hot_rows}").selectExpr(*keys, f"{pieces} AS _pieces")
+    other = [c for c in rows.columns if c not in keys]
+    salt = F.pmod(F.xxhash64(*(other or keys)), F.coalesce("_pieces", F.lit(1)))
     salted = (
         rows.join(F.broadcast(hot), keys, "left")
-        .withColumn("_salt", F.expr("pmod(spark_partition_id(), coalesce(_pieces, 1))"))
+        .withColumn("_salt", salt.cast("int"))
         .drop("_pieces")
     )
     repeated = per_key.withColumn(

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import functions as F
 
 from firmlens.config import DEPENDENT_VARIABLES, PanelConfig
 from firmlens.operators.profile import dummies
@@ -15,11 +14,11 @@ from firmlens.operators.skew import attach_by_key
 
 def design_matrix(panel: DataFrame, cfg: PanelConfig) -> DataFrame:
     """0/1 columns of the slopes for every panel row."""
-    dummies = [
+    columns = [
         _of_level(t, f"CASE WHEN covid_period = '{cfg.period_labels[t.period]}' THEN 1D ELSE 0D END")
         for t in model_terms(cfg)
     ]
-    return panel.selectExpr("id", "year", *dummies)
+    return panel.selectExpr("id", "year", *columns)
 
 
 def _of_level(t: Term, value: str) -> str:

@@ -11,26 +11,32 @@ from firmlens.config import PanelConfig
 from firmlens.functions import features as fx
 from firmlens.functions.formats import round_half_even
 from firmlens.operators import describe, firms, panel, profile, regression, rows, within
-from firmlens.sources.sinks import materialize, write_csv
+from firmlens.sources.sinks import materialize, release, write_csv
 from firmlens.sources.statements import source_profile
 
 
 class PanelStudy:
     """Reports of one statement table under one configuration.
 
-    Reports are lazy. The regression reports of one study share one pass, made when
-    the first of them is asked for. Call `materialized()` before asking for many
-    reports, so that they read the written panel and profiles.
+    Reports are lazy, but for what they share: the first report of medians writes the
+    measures, the first of a model fits all models. Call `materialized()` before asking for many
+    reports, so that they read the written panel and profiles, and `close()` once their
+    results are used: it removes what the study wrote.
+
+    `raw` is the table as it came, before it was typed; the source profile looks at it.
     """
 
-    def __init__(self, source: DataFrame, cfg: PanelConfig | None = None):
+    def __init__(
+        self, source: DataFrame, cfg: PanelConfig | None = None, raw: DataFrame | None = None
+    ):
         self.source = source
+        self.raw = source if raw is None else raw
         self.cfg = cfg or PanelConfig()
         self.spark = source.sparkSession
 
     def materialized(self) -> PanelStudy:
         """The same study with its intermediate tables written once."""
-        study = PanelStudy(self.source, self.cfg)
+        study = PanelStudy(self.source, self.cfg, self.raw)
         study.firms = materialize(self.firms, "firms")
         study.profiles = materialize(self.profiles, "profiles")
         study.moment_rows = self.moment_rows
@@ -38,6 +44,16 @@ class PanelStudy:
         study.measures = study.panel
         return study
 
+    def close(self) -> None:
+        """Remove the tables that this study wrote; its reports can't be read after that."""
+        release(*(v for v in self.__dict__.values() if isinstance(v, DataFrame)))
+
+    def __enter__(self) -> PanelStudy:
+        return self
+
+    def __exit__(self, *failure) -> None:
+        self.close()
+
     # Intermediate tables
 
     @cached_property
@@ -69,13 +85,17 @@ class PanelStudy:
 
     @cached_property
     def fits(self) -> list[regression.Fit]:
+        if self.cfg.duplicate_keys == "refuse":
+            surplus = describe.panel_key_check(self.profiles).first().surplus_rows
+            if surplus:
+                raise ValueError(f"{surplus} rows beyond one per firm and year")
         moments = self.__dict__.get("moment_rows", self.moments)
         return regression.fit_models(moments, self.cfg)
 
     # Source and firms
 
     def source_profile(self) -> DataFrame:
-        return source_profile(self.source)
+        return source_profile(self.raw)
 
     def _coded_rows(self) -> DataFrame:
         return rows.with_codes(rows.statement_rows(self.source, self.cfg), self.cfg)
@@ -205,6 +225,7 @@ class PanelStudy:
         "foreign_distribution",
         "panel_balance",
         "balanced_firms",
+        "panel_key_check",
         "size_stats",
         "assets_wide",
         "assets_by_ownership",

@@ -23,25 +23,39 @@ MEASURE_COLUMNS = (
 
 
 def read_statements(
-    spark: SparkSession, path: str, fmt: str = "parquet", **options
+    spark: SparkSession,
+    path: str,
+    fmt: str = "parquet",
+    years: tuple[int, int] | None = None,
+    **options,
 ) -> DataFrame:
     """Scan statements and return the consumed columns with fixed types.
 
+    `years` are exclusive bounds: a numeric year column is compared in its own type before the
+    cast, so that the bounds reach the scan and prune year folders.
     Text formats are read as strings, so a cell that is no number becomes NULL
     without losing the rest of its row.
     """
     reader = spark.read.format(fmt)
     if fmt == "csv":
         reader = reader.option("header", True)
-    return typed_statements(reader.options(**options).load(path))
+    return typed_statements(reader.options(**options).load(path), years)
 
 
-def typed_statements(raw: DataFrame) -> DataFrame:
-    """Cast to (mb long, year int, name string, measures double); NaN becomes NULL."""
+def typed_statements(raw: DataFrame, years: tuple[int, int] | None = None) -> DataFrame:
+    """Cast to (mb long, year int, name string, measures double); NaN becomes NULL.
+
+    Text ids are read as whole numbers first, so that no digit is lost. A year that is no
+    whole number is NULL. Rows outside the exclusive bounds `years` are left out.
+    """
     missing = [c for c in (*REQUIRED_COLUMNS, *MEASURE_COLUMNS) if c not in raw.columns]
     if missing:
         raise ValueError(f"missing source columns: {', '.join(missing)}")
     types = dict(raw.dtypes)
+    if years:
+        bounded = types["year"] in ("tinyint", "smallint", "int", "bigint", "float", "double")
+        year = "year" if bounded else "try_cast(year AS double)"
+        raw = raw.where(f"{year} > {years[0]} AND {year} < {years[1]}")
     return raw.selectExpr(
         _cast("mb", types["mb"], "bigint"),
         _cast("year", types["year"], "int"),
@@ -53,8 +67,11 @@ def typed_statements(raw: DataFrame) -> DataFrame:
 def _cast(name: str, have: str, want: str) -> str:
     if have == want:
         return name  # no cast, so filters still reach the file scan
-    number = f"try_cast({name} AS double)" if have == "string" and want != "string" else name
-    cast = f"try_cast({number} AS {want})"
+    cast = f"try_cast({name} AS {want})"
+    if want in ("int", "bigint") and (have == "string" or have in ("float", "double")):
+        number = f"try_cast({name} AS double)"
+        whole = f"CASE WHEN {number} = floor({number}) THEN try_cast({number} AS {want}) END"
+        cast = f"coalesce({cast}, {whole})" if have == "string" else whole
     return cast if want == "double" else f"{cast} AS {name}"
 
 

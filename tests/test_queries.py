@@ -2,6 +2,7 @@
 
 import glob
 import os
+import re
 
 import pytest
 
@@ -38,8 +39,10 @@ def test_query_matches_sql(spark, connection, sf_dir, name):
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(ORACLE)
-    assert len(QUERIES) == 33
+    # The training-data queries, where they are there, have tests of their own.
+    own = {n for n in QUERIES if not re.match(r"op\d+_|pipeline$", n)}
+    assert own <= set(ORACLE) <= set(QUERIES)
+    assert len(own) == 33
 
 
 def test_entry(spark):
