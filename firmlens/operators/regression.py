@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -80,27 +80,20 @@ def full_model_terms(cfg: PanelConfig) -> list[tuple[str, Term | None]]:
     return [(name, by_name.get(name)) for name in names]
 
 
+PROFILE = ("size", "foreign", "ownership")
+
+
 def profile_sums(moments: DataFrame, cfg: PanelConfig) -> DataFrame:
-    """Sums of firm moments and of their products by (depvar, attribute profile)."""
+    """Sums of firm moments by (depvar, attribute profile)."""
     w = [f"w_{p}" for p in dummies(cfg)]
     g = [f"g_{p}{q}" for p, q in pairs(cfg)]
-    products = [
-        *itertools.combinations_with_replacement(w, 2),
-        *itertools.product(w, g),
-        *itertools.combinations_with_replacement(g, 2),
-    ]
-    return moments.groupBy("depvar", "size", "foreign", "ownership").agg(
+    return moments.groupBy("depvar", *PROFILE).agg(
         F.expr("cast(sum(n) AS bigint) AS obs"),
         F.expr("count(1) AS firms"),
         *[F.expr(f"sum({c}) AS {c}") for c in ("ss", *w, *g)],
-        *[F.expr(f"sum({a} * {b}) AS `{_product(a, b)}`") for a, b in products],
     )
 
 
-def _product(a: str, b: str) -> str:
-    return f"{a}*{b}"
-
-
 @dataclass
 class Fit:
     """One estimated model. Aliased terms have no estimate."""
@@ -115,9 +108,11 @@ class Fit:
     kept: np.ndarray
     status: list[str]
     beta: np.ndarray
-    cov: np.ndarray
+    inverse: np.ndarray
     # (size, foreign, ownership) -> slope of each dummy period for such a firm
     effects: dict = field(default_factory=dict)
+    # Of the slopes; `clustered` fills it in.
+    cov: np.ndarray | None = None
 
     @property
     def k(self) -> int:
@@ -164,9 +159,6 @@ def _fit(depvar: str, profiles: list[dict], cfg: PanelConfig) -> Fit:
     def g(p: int, q: int) -> str:
         return f"g_{min(p, q)}{max(p, q)}"
 
-    def product(row: dict, a: str, b: str) -> float:
-        return row[_product(a, b)] if _product(a, b) in row else row[_product(b, a)]
-
     gram, xy = np.zeros((size, size)), np.zeros(size)
     for row in profiles:
         for i, a in enumerate(terms):
@@ -185,32 +177,40 @@ def _fit(depvar: str, profiles: list[dict], cfg: PanelConfig) -> Fit:
     tss = math.fsum(r["ss"] for r in profiles)
     obs, firms = sum(r["obs"] for r in profiles), sum(r["firms"] for r in profiles)
 
-    # Score of a firm for (p, z) is z u_p with u_p = w_p - sum_q g_pq c_q, where c_q
-    # is the slope of period q for the firm's profile. Expanding u_p u_q leaves sums
-    # that the profile rows already hold.
-    meat, effects = np.zeros((size, size)), {}
+    effects = {}
     for row in profiles:
         c = {p: 0.0 for p in dummies(cfg)}
         for slope, t in zip(beta, terms):
             if t.applies(row):
                 c[t.period] += float(slope)
         effects[(row["size"], row["foreign"], row["ownership"])] = list(c.values())
-        for p, q in itertools.product(dummies(cfg), repeat=2):
-            value = product(row, f"w_{p}", f"w_{q}")
-            for r in dummies(cfg):
-                value -= c[r] * product(row, f"w_{p}", g(q, r))
-                value -= c[r] * product(row, f"w_{q}", g(p, r))
-                for s in dummies(cfg):
-                    value += c[r] * c[s] * product(row, g(p, r), g(q, s))
-            for i, a in enumerate(terms):
-                for j, b in enumerate(terms):
-                    if a.period == p and b.period == q and a.applies(row) and b.applies(row):
-                        meat[i, j] += value
-    counted = int(kept.sum()) + (firms if cfg.hc1_k == "slopes+firms" else 0)
-    factor = obs / (obs - counted) if obs > counted else math.nan
-    cov = factor * inverse @ meat @ inverse
     rss = max(tss - float(beta @ xy), 0.0)
-    return Fit(depvar, obs, firms, tss, rss, gram, xy, kept, status, beta, cov, effects)
+    return Fit(depvar, obs, firms, tss, rss, gram, xy, kept, status, beta, inverse, effects)
+
+
+def clustered(moments: DataFrame, fits: list[Fit], cfg: PanelConfig) -> list[Fit]:
+    """The fits with their firm-clustered covariance.
+
+    The score of a firm for (p, z) is z u_p, with u_p the sum of its residuals in p. Products
+    of the u are summed by (depvar, attribute profile), after each firm's residuals are taken,
+    so that close fits keep their digits.
+    """
+    terms = model_terms(cfg)
+    sums = _residual_sums(moments, fits, cfg).groupBy("depvar", *PROFILE).agg(
+        *[F.expr(f"sum(u_{p} * u_{q}) AS u_{p}{q}") for p, q in pairs(cfg)]
+    )
+    rows = [r.asDict() for r in sums.collect()]  # at most models x attribute profiles
+    out = []
+    for f in fits:
+        meat = np.zeros((len(terms), len(terms)))
+        for row in (r for r in rows if r["depvar"] == f.depvar):
+            for (i, a), (j, b) in itertools.product(enumerate(terms), repeat=2):
+                if a.applies(row) and b.applies(row):
+                    meat[i, j] += row[f"u_{min(a.period, b.period)}{max(a.period, b.period)}"]
+        counted = f.k + (f.firms if cfg.hc1_k == "slopes+firms" else 0)
+        factor = f.obs / (f.obs - counted) if f.obs > counted else math.nan
+        out.append(replace(f, cov=factor * f.inverse @ meat @ f.inverse))
+    return out
 
 
 def estimable(gram: np.ndarray) -> tuple[np.ndarray, list[str]]:
@@ -246,8 +246,9 @@ def coefficient_table(spark: SparkSession, fits: list[Fit], cfg: PanelConfig) ->
     for f in fits:
         for i, t in enumerate(model_terms(cfg)):
             if f.kept[i]:
-                estimate, error = float(f.beta[i]), math.sqrt(max(float(f.cov[i, i]), 0.0))
-                t_value = estimate / error if error > 0 else None
+                estimate, variance = float(f.beta[i]), float(f.cov[i, i])
+                error = math.sqrt(variance) if variance >= 0 else None
+                t_value = estimate / error if error else None
                 p = two_sided_p(t_value, f.df) if t_value is not None and f.df > 0 else None
                 rows.append((f.depvar, t.name, i, estimate, error, t_value, p))
     schema = (
@@ -302,6 +303,18 @@ def aliased_table(spark: SparkSession, fits: list[Fit], cfg: PanelConfig) -> Dat
 def firm_scores(moments: DataFrame, fits: list[Fit], cfg: PanelConfig) -> DataFrame:
     """Score of every firm for every estimated slope: demeaned regressors times residuals."""
     terms = model_terms(cfg)
+    scored = _residual_sums(moments, fits, cfg)
+    scores = [
+        f"CASE WHEN {t.attribute} = '{t.level}' THEN u_{t.period} ELSE 0D END AS {t.column}"
+        if t.attribute
+        else f"u_{t.period} AS {t.column}"
+        for t in terms
+    ]
+    return scored.selectExpr("depvar", "id", *scores)
+
+
+def _residual_sums(moments: DataFrame, fits: list[Fit], cfg: PanelConfig) -> DataFrame:
+    """The moments with u_p, the sum of a firm's residuals in each dummy period."""
     spark = moments.sparkSession
     effects = [(f.depvar, *profile, c) for f in fits for profile, c in f.effects.items()]
     keys = ["depvar", "size", "foreign", "ownership"]
@@ -313,11 +326,4 @@ def firm_scores(moments: DataFrame, fits: list[Fit], cfg: PanelConfig) -> DataFr
     for p in dummies(cfg):
         fitted = [f"g_{min(p, q)}{max(p, q)} * c[{q - 1}]" for q in dummies(cfg)]
         residual_sums[f"u_{p}"] = F.expr(" - ".join([f"w_{p}", *fitted]))
-    scored = moments.join(F.broadcast(slopes), keys).withColumns(residual_sums)
-    scores = [
-        f"CASE WHEN {t.attribute} = '{t.level}' THEN u_{t.period} ELSE 0D END AS {t.column}"
-        if t.attribute
-        else f"u_{t.period} AS {t.column}"
-        for t in terms
-    ]
-    return scored.selectExpr("depvar", "id", *scores)
+    return moments.join(F.broadcast(slopes), keys).withColumns(residual_sums)

@@ -92,6 +92,11 @@ class PanelStudy:
         moments = self.__dict__.get("moment_rows", self.moments)
         return regression.fit_models(moments, self.cfg)
 
+    @cached_property
+    def clustered(self) -> list[regression.Fit]:
+        """The fits with clustered errors: a second pass over the written moments."""
+        return regression.clustered(self.moment_rows, self.fits, self.cfg)
+
     # Source and firms
 
     def source_profile(self) -> DataFrame:
@@ -192,11 +197,11 @@ class PanelStudy:
         return regression.firm_scores(self.moment_rows, self.fits, self.cfg)
 
     def fe_cluster_cov(self) -> DataFrame:
-        return regression.covariance_table(self.spark, self.fits, self.cfg)
+        return regression.covariance_table(self.spark, self.clustered, self.cfg)
 
     def fe_coefficients(self) -> DataFrame:
         """Estimates, clustered errors, t and p values and stars."""
-        return regression.coefficient_table(self.spark, self.fits, self.cfg)
+        return regression.coefficient_table(self.spark, self.clustered, self.cfg)
 
     def fe_models(self) -> DataFrame:
         """Unrounded model records."""

@@ -68,7 +68,7 @@ def dummy_variable_fit(sample):
 
 @pytest.mark.parametrize("depvar", DEPENDENT_VARIABLES)
 def test_against_dummy_variable_regression(study, samples, depvar):
-    fit = next(f for f in study.fits if f.depvar == depvar)
+    fit = next(f for f in study.clustered if f.depvar == depvar)
     beta, cov, r2 = dummy_variable_fit(samples[depvar])
     assert np.allclose(fit.beta, beta, rtol=1e-8, atol=1e-9 * np.abs(beta).max())
     assert np.allclose(fit.cov, cov, rtol=1e-7, atol=1e-10 * np.abs(cov).max())
@@ -160,7 +160,7 @@ def test_rank_deficient_sample_without_baseline_period(spark):
 
 def test_hc1_factor(stand_in, study):
     other = PanelStudy(stand_in, dataclasses.replace(STAND_IN, hc1_k="slopes+firms"))
-    a, b = study.fits[0], other.fits[0]
+    a, b = study.clustered[0], other.clustered[0]
     ratio = (a.obs - a.k) / (a.obs - a.k - a.firms)
     assert np.allclose(b.cov, a.cov * ratio)
     with pytest.raises(ValueError):
@@ -185,3 +185,42 @@ def test_aliased_terms_cover_the_model_matrix(study):
         "SizeSmall", "SizeMicro", "SizeLarge", "Foreign1", "OwnershipSocialistic",
         "OwnershipCooperative", "OwnershipMixed", "OwnershipGovernment",
     }
+
+
+def test_clustered_errors_keep_their_digits_on_a_close_fit(spark):
+    """1 - R2 near 1e-12: the variances still agree with scores taken row by row."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for firm in range(1, 121):
+        large, foreign = firm // 4 % 2, firm % 3 == 0
+        for year in range(2018, 2024):
+            effect = (0, 0, 3e5, 3e5, 5e5, 5e5)[year - 2018] * (1 + large + 2 * foreign + firm % 4)
+            rows.append(
+                {
+                    "mb": firm,
+                    "year": year,
+                    "AOP1001": 6e6 + firm * 1e4 + effect + float(rng.normal()) * 0.3,
+                    "AOP9005": 300.0 if large else 100.0,
+                    "AOP59": 5e6 if large else 1e6,
+                    "AOP9003": 51.0 if foreign else 0.0,
+                    "AOP9002": float(2 + firm % 4),
+                }
+            )
+    study = PanelStudy(statements(spark, *rows), PanelConfig())
+    fit = next(f for f in study.clustered if f.depvar == "OperatingRevenue_mil")
+    design = {(r.id, r.year): list(r[2:]) for r in study.design_matrix().collect()}
+    sample = [(r.id, r.y, design[(r.id, r.year)]) for r in study.regression_sample().collect() if r.depvar == fit.depvar]
+    # Row-level residuals from demeaned columns, where no large level is left to cancel.
+    ids = np.array([s[0] for s in sample])
+    data = np.array([[s[1], *s[2]] for s in sample])
+    for i in np.unique(ids):
+        data[ids == i] -= data[ids == i].mean(axis=0)
+    y, x = data[:, 0], data[:, 1:]
+    beta = np.linalg.lstsq(x, y, rcond=None)[0]
+    residuals = y - x @ beta
+    assert 1e-14 < residuals @ residuals / (y @ y) < 1e-10
+    scores = np.array([x[ids == i].T @ residuals[ids == i] for i in np.unique(ids)])
+    bread = np.linalg.inv(x.T @ x)
+    cov = len(y) / (len(y) - fit.k) * bread @ scores.T @ scores @ bread
+    assert np.allclose(np.diag(fit.cov), np.diag(cov), rtol=1e-4)
+    assert (np.diag(fit.cov) > 0).all()
