@@ -56,6 +56,14 @@ class PanelConfig:
     size_above: int = 2
     excluded_ownership: int = 1
     margin_bound: float = 1.0
+    # Upper band limits of the size classes: head count, revenue and assets in thousand EUR.
+    employee_limits: tuple[float, ...] = EMPLOYEE_LIMITS
+    revenue_limits_eur: tuple[float, ...] = REVENUE_LIMITS_EUR
+    asset_limits_eur: tuple[float, ...] = ASSET_LIMITS_EUR
+    # The models: (name, panel column, positive values only).
+    dependent_variables: tuple[tuple[str, str, bool], ...] = tuple(
+        (name, *of) for name, of in DEPENDENT_VARIABLES.items()
+    )
     # Small-sample factor n/(n-k): k counts the slopes, or slopes plus firm effects.
     hc1_k: str = "slopes"
     # A firm with more rows than this is split over several join tasks.
@@ -69,6 +77,10 @@ class PanelConfig:
         if self.duplicate_keys not in ("allow", "refuse"):
             raise ValueError("duplicate_keys must be 'allow' or 'refuse'")
 
+    @property
+    def depvars(self) -> tuple[str, ...]:
+        return tuple(name for name, _, _ in self.dependent_variables)
+
     @property
     def first_year(self) -> int:
         return self.year_after + 1

@@ -10,9 +10,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from firmlens.config import (
-    ASSET_LIMITS_EUR,
-    EMPLOYEE_LIMITS,
-    REVENUE_LIMITS_EUR,
     SIZE_NAMES,
     PanelConfig,
 )
@@ -42,9 +39,9 @@ def size_class(employees: str, revenue: str, assets: str, cfg: PanelConfig) -> C
     Missing inputs and rows without a winning band get the default class.
     """
     criteria = (
-        (employees, EMPLOYEE_LIMITS),
-        (revenue, [x * cfg.eur for x in REVENUE_LIMITS_EUR]),
-        (assets, [x * cfg.eur for x in ASSET_LIMITS_EUR]),
+        (employees, cfg.employee_limits),
+        (revenue, [x * cfg.eur for x in cfg.revenue_limits_eur]),
+        (assets, [x * cfg.eur for x in cfg.asset_limits_eur]),
     )
     missing = " OR ".join(f"{column} IS NULL" for column, _ in criteria)
     bands = []

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from firmlens.config import (
-    DEPENDENT_VARIABLES,
     FOREIGN_LEVELS,
     OWNERSHIP_LEVELS,
     SIZE_LEVELS,
@@ -43,8 +42,8 @@ def with_labels(df: DataFrame, cfg: PanelConfig) -> DataFrame:
     )
 
 
-def regression_sample(panel: DataFrame) -> DataFrame:
+def regression_sample(panel: DataFrame, cfg: PanelConfig) -> DataFrame:
     """One row per dependent variable and firm-year in its estimation sample."""
     keys = ["id", "year", "covid_period", "size", "foreign", "ownership"]
-    long = sample_columns(panel).unpivot(keys, list(DEPENDENT_VARIABLES), "depvar", "y")
+    long = sample_columns(panel, cfg).unpivot(keys, list(cfg.depvars), "depvar", "y")
     return long.where("y IS NOT NULL").select("depvar", "y", *keys)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from firmlens.config import DEPENDENT_VARIABLES, PanelConfig
+from firmlens.config import PanelConfig
 from firmlens.operators.firms import code_aggregates, eligible_firms
 from firmlens.operators.panel import with_labels
 from firmlens.operators.rows import (
@@ -71,10 +71,10 @@ def firm_moments(source: DataFrame, cfg: PanelConfig) -> DataFrame:
     cross product g_pq = n_p [p = q] - n_p n_q / n.
     """
     sample = sample_columns(
-        scaled(_rows(source, cfg)), "eligible AND covid_period IS NOT NULL"
+        scaled(_rows(source, cfg)), cfg, "eligible AND covid_period IS NOT NULL"
     ).unpivot(
         ["id", "size", "foreign", "ownership", "liquidation", "covid_period"],
-        list(DEPENDENT_VARIABLES),
+        list(cfg.depvars),
         "depvar",
         "y",
     )

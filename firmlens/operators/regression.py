@@ -19,7 +19,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from firmlens.config import (
-    DEPENDENT_VARIABLES,
     FOREIGN_LEVELS,
     OWNERSHIP_LEVELS,
     SIZE_LEVELS,
@@ -148,7 +147,7 @@ def f_statistic(r2: float | None, k: int, df: int) -> float | None:
 def fit_models(moments: DataFrame, cfg: PanelConfig) -> list[Fit]:
     """Estimate every model. Collects at most models x attribute profiles rows."""
     rows = [r.asDict() for r in profile_sums(moments, cfg).collect()]
-    by_model = {d: [r for r in rows if r["depvar"] == d] for d in DEPENDENT_VARIABLES}
+    by_model = {d: [r for r in rows if r["depvar"] == d] for d in cfg.depvars}
     return [_fit(d, profiles, cfg) for d, profiles in by_model.items() if profiles]
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from firmlens.config import DEPENDENT_VARIABLES, PanelConfig
+from firmlens.config import PanelConfig
 from firmlens.functions import features as fx
 
 METRIC_COLUMNS = (
@@ -107,7 +107,7 @@ def within_margins(cfg: PanelConfig) -> Column:
     )
 
 
-def sample_columns(rows: DataFrame, in_sample: str = "true") -> DataFrame:
+def sample_columns(rows: DataFrame, cfg: PanelConfig, in_sample: str = "true") -> DataFrame:
     """Add one column per dependent variable, NULL where a row is not in its sample.
 
     For the logs the positivity filter acts on the logged value.
@@ -117,6 +117,6 @@ def sample_columns(rows: DataFrame, in_sample: str = "true") -> DataFrame:
             depvar: F.expr(
                 f"CASE WHEN {in_sample} {f'AND {column} > 0' if positive else ''} THEN {column} END"
             )
-            for depvar, (column, positive) in DEPENDENT_VARIABLES.items()
+            for depvar, column, positive in cfg.dependent_variables
         }
     )

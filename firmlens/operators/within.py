@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from firmlens.config import DEPENDENT_VARIABLES, PanelConfig
+from firmlens.config import PanelConfig
 from firmlens.operators.profile import dummies
 from firmlens.operators.regression import Term, model_terms
 from firmlens.operators.rows import panel_metrics, sample_columns, scaled, within_margins
@@ -41,10 +41,10 @@ def within_transform(source: DataFrame, moments: DataFrame, cfg: PanelConfig) ->
         F.expr("cast(max(n) AS bigint) AS n_obs"),
     )
     rows = sample_columns(
-        scaled(panel_metrics(source, cfg).where(within_margins(cfg))), "covid_period IS NOT NULL"
-    ).select("id", "year", "covid_period", *DEPENDENT_VARIABLES)
+        scaled(panel_metrics(source, cfg).where(within_margins(cfg))), cfg, "covid_period IS NOT NULL"
+    ).select("id", "year", "covid_period", *cfg.depvars)
     joined = attach_by_key(rows, firms, ["id"], "n_obs", cfg.hot_rows)
-    y = " ".join(f"WHEN '{d}' THEN {d}" for d in DEPENDENT_VARIABLES)
+    y = " ".join(f"WHEN '{d}' THEN {d}" for d in cfg.depvars)
     sample = (
         joined.select("*", F.expr("inline(means)"))
         .withColumn("y", F.expr(f"CASE depvar {y} END"))

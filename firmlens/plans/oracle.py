@@ -10,12 +10,8 @@ from __future__ import annotations
 from functools import partial
 
 from firmlens.config import (
-    ASSET_LIMITS_EUR,
-    DEPENDENT_VARIABLES,
-    EMPLOYEE_LIMITS,
     FOREIGN_LEVELS,
     OWNERSHIP_LEVELS,
-    REVENUE_LIMITS_EUR,
     SIZE_LEVELS,
     STAND_IN,
     PanelConfig,
@@ -107,9 +103,9 @@ def _votes(cfg: PanelConfig, band: int) -> str:
             parts.append(f"{column} <= {limits[band]}")
         return f"CAST({' AND '.join(parts)} AS INT)"
 
-    employees = [f"{float(x)}E0" for x in EMPLOYEE_LIMITS]
-    revenue = [f"{x * cfg.eur}E0" for x in REVENUE_LIMITS_EUR]
-    assets = [f"{x * cfg.eur}E0" for x in ASSET_LIMITS_EUR]
+    employees = [f"{float(x)}E0" for x in cfg.employee_limits]
+    revenue = [f"{x * cfg.eur}E0" for x in cfg.revenue_limits_eur]
+    assets = [f"{x * cfg.eur}E0" for x in cfg.asset_limits_eur]
     return " + ".join(
         [inside("AOP9005", employees), inside("AOP1001", revenue), inside("AOP59", assets)]
     )
@@ -200,11 +196,11 @@ def _dummy(period, attribute, level) -> str:
     return f"CASE WHEN {condition} THEN 1.0E0 ELSE 0.0E0 END"
 
 
-def _sample_sql() -> str:
+def _sample_sql(cfg: PanelConfig) -> str:
     parts = [
         f"SELECT '{depvar}' AS depvar, {column} AS y, id, year, covid_period, size, \"foreign\", ownership "
         f"FROM merged WHERE {column} IS NOT NULL" + (f" AND {column} > 0" if positive else "")
-        for depvar, (column, positive) in DEPENDENT_VARIABLES.items()
+        for depvar, column, positive in cfg.dependent_variables
     ]
     return "\n  UNION ALL ".join(parts)
 
@@ -234,7 +230,6 @@ def _cells_sql(relation: str, product: str, pairs) -> str:
 _UPPER = [(i, j) for i in range(_K + 1) for j in range(i, _K + 1)]
 
 _MODEL_CTES = {
-    "sample": _sample_sql(),
     "demeaned": _within_sql(),
     "upper_cells": _cells_sql("demeaned", "x{i} * x{j}", _UPPER),
     "sweep0": """
@@ -356,7 +351,8 @@ def statements(cfg: PanelConfig = STAND_IN, source: dict[str, str] | None = None
 
     `source` names the CTEs that end in `panel`; by default the stand-in panel.
     """
-    ctes = {**(source or _STAND_IN_CTES), **_panel_ctes(cfg), **_MODEL_CTES}
+    ctes = {**(source or _STAND_IN_CTES), **_panel_ctes(cfg)}
+    ctes |= {"sample": _sample_sql(cfg), **_MODEL_CTES}
     _statement = partial(_chained, ctes)
     size_names = "CASE size WHEN 1 THEN 'Micro' WHEN 2 THEN 'Small' WHEN 3 THEN 'Medium' WHEN 4 THEN 'Large' END"
     metric_columns = """id, year, operating_revenue, total_revenue, operating_income, operating_loss,

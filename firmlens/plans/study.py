@@ -179,7 +179,7 @@ class PanelStudy:
     # Models
 
     def regression_sample(self) -> DataFrame:
-        return panel.regression_sample(self.panel)
+        return panel.regression_sample(self.panel, self.cfg)
 
     def design_matrix(self) -> DataFrame:
         return within.design_matrix(self.panel, self.cfg)
