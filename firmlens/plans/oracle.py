@@ -399,8 +399,13 @@ FROM (SELECT size, count(*) AS n, CAST(sum(count(*)) OVER () AS BIGINT) AS total
     return {
         "panel_source": _statement("SELECT * FROM panel", "panel"),
         "source_profile": _statement(
-            """SELECT count(*) AS n_rows, CAST(13 AS BIGINT) AS n_columns, TRUE AS has_key_columns,
-       min(year) AS min_year, max(year) AS max_year FROM panel""",
+            """SELECT 'statements' AS source_table, count(*) AS n_rows,
+       max(len(json_keys(to_json(p)))) AS n_columns,
+       bool_and(list_has_all(json_keys(to_json(p)), ['mb', 'year', 'name'])) AS has_key_columns,
+       min(year) AS min_year, max(year) AS max_year FROM panel p
+     UNION ALL SELECT 'orders', count(*), max(len(json_keys(to_json(o)))),
+       bool_and(list_has_all(json_keys(to_json(o)), ['mb', 'year', 'name'])), NULL, NULL
+     FROM orders o""",
             "panel",
         ),
         "liquidation_flags": _statement(
