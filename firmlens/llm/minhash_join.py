@@ -8,8 +8,8 @@ such pairs share one. Pairs that share a key are confirmed on their full sets.
 
 Only components are wanted, so a key's members are compared with one of them first, the one
 that shares its keys with most others. What then still lies in different components is
-compared pair by pair, except where the overlaps with that pivot, the shingles that no other
-member has or the sizes rule a link out.
+compared in tiles of sets, except where the sizes or the overlaps with that pivot rule a
+link out: outside the pivot, two sets share at most what the one has there that has less.
 """
 
 from __future__ import annotations
@@ -48,6 +48,9 @@ class JoinConfig:
         return 2 * (self.positions // self.chunk) - 1
 
 
+#: What a class counts for besides its shingles, so that tiles of tiny sets stay small too.
+CLASS_WEIGHT = 500
+
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -152,16 +155,15 @@ def near_duplicates(
     shared = entries.groupBy("key").agg(F.count("*").alias("times")).where("times > 1")
     members = materialize(_with_pivots(entries.join(shared, "key")), "key_members")
     sets = materialize(_sets_of(docs, classes, members, cfg, id_column, text_column), "sets")
-    first = materialize(
-        _confirmed(members.where("class <> pivot").select("pivot", "class").distinct(), sets, cfg),
-        "confirmed",
-    )
+    together = materialize(members.select("pivot", "class", "n").distinct(), "together")
+    release(members)
+    first = _confirmed(together.where("class <> pivot").select("pivot", "class"), sets, cfg)
+    first = materialize(first, "confirmed")
     links = first.where("linked").selectExpr("pivot AS src", "class AS dst")
     groups = materialize(components(links), "components")
-    apart = materialize(_still_apart(members, first, groups, sets, cfg), "apart")
-    more = _confirmed(apart, sets, cfg).where("linked").selectExpr("pivot AS src", "class AS dst")
+    more = _cross_links(together, first, groups, sets, cfg)
     joined = materialize(links.unionByName(more), "links")
-    release(members, apart, sets, groups)
+    release(together, sets, groups, first)
     reached = components(joined)
     grouped = (
         classes.select("class", "digest", "doc_id")
@@ -273,65 +275,98 @@ def _compared(task: pa.Table, percent: int) -> pa.Table:
     return pa.table({n: pa.array(v, k) for (n, v), k in zip(out.items(), kinds)})
 
 
-def _still_apart(
-    members: DataFrame, first: DataFrame, groups: DataFrame, sets: DataFrame, cfg: JoinConfig
+def _cross_links(
+    together: DataFrame, first: DataFrame, groups: DataFrame, sets: DataFrame, cfg: JoinConfig
 ) -> DataFrame:
-    """Pairs (pivot, class) that share a key, lie in different components and could be linked.
+    """(src, dst): links between components, among classes that share a pivot.
 
-    A link needs an overlap of p / (100 + p) of both sizes. Exact bounds leave out what cannot
-    have it: a pair shares no shingle that only one set here has; and outside the key's pivot
-    it shares at most what the one of them has there that has less. Members of a
-    key's largest component are not compared with each other, as they are joined already.
+    Whatever shares a key shares its pivot. Of the classes of one pivot, those outside its
+    largest component are compared with all, in tiles of bounded size; a tile returns
+    one link for a class and another component, however many there are.
     """
-    least = cfg.percent
-    own = members.join(first.select("pivot", "class", "overlap"), ["pivot", "class"], "left")
+    own = together.join(first.select("pivot", "class", "overlap"), ["pivot", "class"], "left")
     own = own.join(groups.withColumnRenamed("node", "class"), "class", "left").select(
-        "key",
+        "pivot",
         "class",
         "n",
         F.coalesce("component", "class").alias("group"),
-        F.expr("IF(class = pivot, n, overlap)").alias("inside"),
+        F.expr("IF(class = pivot, n, coalesce(overlap, -1L))").alias("inside"),
     )
-    parts = own.groupBy("key", "group").agg(F.count("*").alias("times"), F.min("n").alias("n"))
-    mixed = parts.groupBy("key").agg(
-        F.max(F.struct("times", "group")).alias("major"),
-        F.min("n").alias("smallest"),
+    weight = F.col("n") + CLASS_WEIGHT
+    parts = own.groupBy("pivot", "group").agg(F.count("*").alias("times"), F.sum(weight).alias("part"))
+    mixed = parts.groupBy("pivot").agg(
+        F.max(F.struct("times", "group", "part")).alias("major"),
+        F.sum("part").alias("all"),
         F.count("*").alias("parts"),
     )
-    mixed = mixed.where("parts > 1").selectExpr("key", "major.group AS major", "smallest")
-    own = materialize(own.join(mixed, "key"), "mixed_keys")
-    shared = F.col("n") - F.coalesce("unshared", F.lit(0))
-    own = own.join(_unshared(own.select("class").distinct(), sets), "class", "left")
-    own = materialize(own.withColumn("shared", shared).drop("unshared"), "mixed_members")
-    partner = f"greatest(smallest, {least / 100} * n)"
-    minor = own.where(f"group <> major AND shared * {100 + least} >= {least} * (n + {partner})")
-    other = own.select("key", *(F.col(c).alias(f"_{c}") for c in ("class", "n", "group", "inside", "shared")))
-    close = (
-        f"group <> _group AND 100 * least(n, _n) >= {least} * greatest(n, _n) "
-        f"AND least(shared, _shared) * {100 + least} >= {least} * (n + _n) "
-        "AND coalesce((least(inside, _inside) + least(shared - inside, _shared - _inside)) "
-        f"* {100 + least} >= {least} * (n + _n), true)"
+    budget = cfg.task_shingles
+    mixed = mixed.where("parts > 1").selectExpr(
+        "pivot",
+        "major.group AS major",
+        f"cast(ceil(5 * (all - major.part) / {budget}) AS int) AS a_blocks",
+        f"cast(ceil(2 * all / {budget}) AS int) AS b_blocks",
+    )
+    own = materialize(own.join(mixed, "pivot"), "mixed")
+    block = "cast(pmod(xxhash64(class), {0}) AS int) AS {1}"
+    every = "explode(sequence(0, {0} - 1)) AS {1}"
+    columns = ["pivot", "class", "n", "group", "inside"]
+    minor = own.where("group <> major").selectExpr(
+        *columns, "true AS minor", block.format("a_blocks", "a"), every.format("b_blocks", "b")
     )
-    pairs = minor.join(other, "key").where(close)
-    return pairs.selectExpr(
-        "least(class, _class) AS pivot", "greatest(class, _class) AS class"
-    ).distinct()
-
-
-def _unshared(classes: DataFrame, sets: DataFrame) -> DataFrame:
-    """(class, unshared): shingles of a class that no other of `classes` has."""
+    other = own.selectExpr(
+        *columns, "false AS minor", every.format("a_blocks", "a"), block.format("b_blocks", "b")
+    )
+    dealt = minor.unionByName(other)
+    total = dealt.agg(F.sum(weight)).first()[0] or 0
+    task = F.pmod(F.xxhash64("pivot", "a", "b"), F.lit(max(1, -(-total // budget))))
+    met = dealt.join(sets.select("class", "shingles"), "class").withColumn("task", task)
+    percent = cfg.percent
+    return met.groupBy("task").applyInArrow(lambda t: _crossed(t, percent), "src long, dst long")
 
-    def work(batch: pa.RecordBatch) -> Iterator[dict]:
-        raw = batch.column(1)
-        lists = [np.frombuffer(r.as_buffer(), np.int64) for r in raw]
-        yield {"class": batch.column(0), "shingles": lists}
 
-    own = sets.join(classes, "class").select("class", "shingles")
-    each = mapped(own, "class long, shingles array<long>", work).select(
-        "class", F.explode("shingles").alias("shingle")
+def _crossed(task: pa.Table, percent: int) -> pa.Table:
+    raw = task.column("shingles").combine_chunks()
+    number, n, group, inside, minor = (
+        task.column(c).to_numpy() for c in ("class", "n", "group", "inside", "minor")
+    )
+    tiles: dict[tuple, list[int]] = {}
+    for at, key in enumerate(zip(*(task.column(c).to_pylist() for c in ("pivot", "a", "b")))):
+        tiles.setdefault(key, []).append(at)
+    links: list[tuple[int, int]] = []
+    for rows in tiles.values():
+        rows = np.array(rows)
+        mine, others = rows[minor[rows]], rows[~minor[rows]]
+        # A link needs this share of both sizes as overlap.
+        need = percent / (100 + percent) * (n[mine][:, None] + n[others][None, :]) - 1e-6
+        extra = np.minimum((n - inside)[mine][:, None], (n - inside)[others][None, :])
+        most = np.minimum(inside[mine][:, None], inside[others][None, :]) + extra
+        unknown = (inside[mine] < 0)[:, None] | (inside[others] < 0)[None, :]
+        may = (np.minimum(n[mine][:, None], n[others][None, :]) >= need) & (unknown | (most >= need))
+        may &= group[mine][:, None] != group[others][None, :]
+        mine, may = mine[may.any(axis=1)], may[may.any(axis=1)]
+        others, may = others[may.any(axis=0)], may[:, may.any(axis=0)]
+        if not len(mine):
+            continue
+        sets = [np.frombuffer(raw[at].as_buffer(), np.uint64) for at in mine]
+        universe = np.unique(np.concatenate(sets))
+        theirs = [np.frombuffer(raw[at].as_buffer(), np.uint64) for at in others]
+        flat = np.concatenate(theirs)
+        place = np.minimum(np.searchsorted(universe, flat), len(universe) - 1)
+        known = universe[place] == flat
+        place, owner = place[known], np.repeat(np.arange(len(others)), list(map(len, theirs)))[known]
+        flags = np.zeros(len(universe), bool)
+        for at, shingles, allowed in zip(mine, sets, may):
+            here = np.searchsorted(universe, shingles)
+            flags[here] = True
+            both = np.bincount(owner[flags[place]], minlength=len(others))
+            flags[here] = False
+            linked = allowed & (100 * both >= percent * (n[at] + n[others] - both))
+            found = others[linked]
+            for one in np.unique(group[found], return_index=True)[1]:
+                links.append((int(number[at]), int(number[found[one]])))
+    return pa.table(
+        {c: pa.array([link[k] for link in links], pa.int64()) for k, c in enumerate(("src", "dst"))}
     )
-    seen = each.groupBy("shingle").agg(F.min("class").alias("class"), F.max("class").alias("last"))
-    return seen.where("class = last").groupBy("class").agg(F.count("*").alias("unshared"))
 
 
 def keep_one(docs: DataFrame, cfg: JoinConfig | None = None) -> DataFrame:
