@@ -1,18 +1,19 @@
 """Language-model scores by a log-bilinear model trained with noise-contrastive estimation.
 
 Exact counts of all tokens come from all training documents. The network predicts the next
-token's output: the most frequent tokens have one each, and the others share hash classes,
-inside which the exact counts say how likely a token is. So probabilities are normalised
-over all words, the unknown ones too, while the network keeps one size. Every task trains on
-its own documents from one common start, and the parameters are averaged by tokens, as
-sums that Spark makes. Tokens of a text beyond the most frequent ones get their counts by
-a join with the whole table of counts.
+token's output: the 65,536 most frequent tokens have one each, and those beyond share hash
+classes, inside which the exact counts say how likely a token is. Outputs of neighbouring
+frequency form groups: a probability is that of the group times that of the output inside
+it, so it is normalised over all words, the unknown ones too, by two short matrix products.
+Every task trains on its own documents from one common start, and each vector is averaged
+over the tasks by its uses there, as sums that Spark makes. Tokens of a text beyond the most
+frequent ones get their counts by a join with the whole table of counts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +29,13 @@ END = 0
 
 @dataclass(frozen=True)
 class LmConfig:
-    """own: tokens with an output of their own; classes: outputs that the others share.
+    """own: most tokens with an output of their own; classes: outputs that the others share.
 
     head: most frequent tokens whose counts are sent to every task; the counts of all others
     are joined. noise: samples that the tokens of a batch are told apart from.
     """
 
-    own: int = 128
+    own: int = 65_536
     classes: int = 64
     head: int = 65_536
     dims: int = 16
@@ -88,24 +89,26 @@ class Vocabulary:
     """The bounded part of the counts: head tokens, outputs, and totals of the classes."""
 
     def __init__(self, counts: DataFrame, cfg: LmConfig):
-        self.cfg = cfg
         self.total, self.distinct = counts.agg(
             F.coalesce(F.sum("n"), F.lit(0)), F.count("*")
         ).first()
         head = counts.orderBy(F.desc("n"), "token").limit(cfg.head).toArrow()
         token, n = head["token"].to_numpy(), head["n"].to_numpy()
         own = token[: cfg.own]
+        #: Outputs that no token has are left out.
+        self.cfg = cfg = replace(cfg, own=len(own))
         order = np.argsort(token)
         self.head, self.head_n = token[order], n[order]
         by_token = np.argsort(own)
         self.own, self.own_output = own[by_token], by_token
-        rest = counts.where(~F.col("token").isin([int(t) for t in own])) if len(own) else counts
-        per_class = rest.groupBy(F.pmod("token", F.lit(cfg.classes)).alias("class")).agg(
+        per_class = counts.groupBy(F.pmod("token", F.lit(cfg.classes)).alias("class")).agg(
             F.sum("n").alias("n"), F.count("*").alias("distinct")
         )
         self.class_n, class_distinct = np.zeros(cfg.classes), np.zeros(cfg.classes)
         for r in per_class.collect():
             self.class_n[r["class"]], class_distinct[r["class"]] = r["n"], r["distinct"]
+        self.class_n -= np.bincount(own % cfg.classes, n[: cfg.own], cfg.classes)
+        class_distinct -= np.bincount(own % cfg.classes, minlength=cfg.classes)
         #: Words of a class and one unknown share its probability.
         self.class_size = self.class_n + 0.5 * (class_distinct + 1)
         seen = np.zeros(cfg.outputs)
@@ -142,76 +145,152 @@ def contexts(out: np.ndarray, sizes: np.ndarray, cfg: LmConfig) -> np.ndarray:
     return np.stack([padded[place - k] for k in range(1, cfg.context + 1)])
 
 
+def frequency_groups(prior: np.ndarray, own: int) -> np.ndarray:
+    """Group of each output; outputs of tokens come by falling frequency, each class is a group.
+
+    A group takes outputs until the square roots of their shares add up to one. That makes
+    the number of groups and the expected size of a token's group, which are the cost of
+    normalising, smallest in sum.
+    """
+    share = prior[:own] / prior.sum()
+    group = np.floor(np.cumsum(np.sqrt(share))).astype(np.int64)
+    group = np.unique(group, return_inverse=True)[1]
+    first = group[-1] + 1 if own else 0
+    return np.concatenate([group, first + np.arange(len(prior) - own)])
+
+
 class LogBilinear:
-    """score(w) = (sum over places k of C[k] * R[context k]) . Q[w] + b[w]."""
+    """Scores h . Q[w] + b[w] of outputs and h . U[g] + c[g] of their groups.
+
+    h is the sum over places k of C[k] * R[context k]. Both kinds of scores are trained against
+    noise, and a probability is that of the group times that of the output in its group.
+    """
 
     def __init__(self, prior: np.ndarray, cfg: LmConfig):
         rng = np.random.default_rng(cfg.seed)
         m, d = cfg.outputs, cfg.dims
         self.cfg = cfg
+        prior = prior / prior.sum()
+        self.group = frequency_groups(prior, cfg.own)
+        self.first = np.searchsorted(self.group, np.arange(self.group[-1] + 2))
+        of_group = np.bincount(self.group, prior)
+        #: R, Q with b, C and U with c; a row is one vector and its bias.
         self.p = [
-            rng.normal(scale=0.3, size=(m + 1, d)).astype(np.float32),
-            rng.normal(scale=0.1, size=(m, d)).astype(np.float32),
-            np.full((cfg.context, d), 1 / cfg.context, np.float32),
-            np.log(prior).astype(np.float32),
+            _rows(rng.normal(scale=0.3, size=(m + 1, d)), np.zeros(m + 1)),
+            _rows(rng.normal(scale=0.1, size=(m, d)), np.log(prior)),
+            _rows(np.full((cfg.context, d), 1 / cfg.context), np.zeros(cfg.context)),
+            _rows(rng.normal(scale=0.1, size=(len(of_group), d)), np.log(of_group)),
         ]
-        self.noise_log = np.log(cfg.noise * prior).astype(np.float32)
-        self.noise_cdf = np.cumsum(prior)
-        self.squares = [np.full_like(a, 1e-4) for a in self.p]
+        self.noise = {1: _Noise(prior, cfg.noise), 3: _Noise(of_group, cfg.noise)}
+
+    def start_training(self) -> None:
+        self.squares = [np.full_like(a, START_SQUARE) for a in self.p]
+        self.uses = [np.zeros(len(a), np.int64) for a in self.p]
 
     def hidden(self, context: np.ndarray) -> np.ndarray:
-        r, _, c, _ = self.p
+        r, c = self.p[0][:, :-1], self.p[2][:, :-1]
         return sum(r[context[k]] * c[k] for k in range(self.cfg.context))
 
     def train(self, context: np.ndarray, target: np.ndarray, rng: np.random.Generator) -> None:
         """One step per batch, by Adagrad on the noise-contrastive loss."""
+        if not hasattr(self, "uses"):
+            self.start_training()
         order = rng.permutation(len(target))
         for at in range(0, len(order), self.cfg.batch):
             rows = order[at : at + self.cfg.batch]
             self._step(context[:, rows], target[rows], rng)
 
     def _step(self, context, target, rng):
-        r, q, c, b = self.p
-        noise = np.searchsorted(self.noise_cdf, rng.random(self.cfg.noise) * self.noise_cdf[-1])
-        noise = np.minimum(noise, self.cfg.outputs - 1)
-        h = self.hidden(context)
-        # How far each token looks like data rather than noise; the error of that belief.
-        data = _sigmoid((h * q[target]).sum(axis=1) + b[target] - self.noise_log[target]) - 1
-        false = _sigmoid(h @ q[noise].T + (b[noise] - self.noise_log[noise]))
-        back = data[:, None] * q[target] + false @ q[noise]
-        grads = [np.zeros_like(a) for a in self.p]
-        grads[1] += _added(target, data[:, None] * h, len(q))
-        np.add.at(grads[1], noise, false.T @ h)
-        grads[3] += np.bincount(target, data, len(b)).astype(np.float32)
-        np.add.at(grads[3], noise, false.sum(axis=0))
-        for k in range(self.cfg.context):
-            grads[0] += _added(context[k], back * c[k], len(r))
-            grads[2][k] = (back * r[context[k]]).sum(axis=0)
-        for a, g, s in zip(self.p, grads, self.squares):
-            g /= len(target)
-            s += g**2
-            a -= self.cfg.rate * g / np.sqrt(s)
+        r, c = self.p[0][:, :-1], self.p[2][:, :-1]
+        places, d = self.cfg.context, self.cfg.dims
+        near = r[context]
+        h = (near * c[:, None, :]).sum(axis=0)
+        back, steps = np.zeros_like(h), []
+        for k, aim in ((1, target), (3, self.group[target])):
+            noise = self.noise[k].draw(rng)
+            q, of_noise = self.p[k][aim], self.p[k][noise]
+            log = self.noise[k].log
+            # How far each token looks like data rather than noise; the error of that belief.
+            data = _sigmoid((h * q[:, :d]).sum(axis=1) + q[:, d] - log[aim]) - 1
+            false = _sigmoid(h @ of_noise[:, :d].T + (of_noise[:, d] - log[noise]))
+            back += data[:, None] * q[:, :d] + false @ of_noise[:, :d]
+            grads = [_rows(data[:, None] * h, data), _rows(false.T @ h, false.sum(axis=0))]
+            steps.append((k, np.concatenate([aim, noise]), np.concatenate(grads)))
+        of_r = (back[None] * c[:, None, :]).reshape(-1, d)
+        steps.append((0, context.ravel(), _rows(of_r, np.zeros(len(of_r)))))
+        steps.append((2, np.arange(places), _rows((back[None] * near).sum(axis=1), np.zeros(places))))
+        for k, rows, grads in steps:
+            self._moved(k, rows, grads)
+        self.uses[2] += len(target) - 1
+
+    def _moved(self, k: int, rows: np.ndarray, grads: np.ndarray) -> None:
+        """An Adagrad step of the rows that a batch touches."""
+        rows, inverse, times = np.unique(rows, return_inverse=True, return_counts=True)
+        g = _added(inverse, grads, len(rows))
+        self.uses[k][rows] += times
+        s = self.squares[k][rows] + g**2
+        self.squares[k][rows] = s
+        self.p[k][rows] -= self.cfg.rate * g / np.sqrt(s)
 
     def log_probability(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural log of each target's probability, over all outputs."""
-        _, q, _, b = self.p
+        d = self.cfg.dims
+        q, u = self.p[1], self.p[3]
+        h, group = self.hidden(context), self.group[target]
         out = np.empty(len(target))
         for at in range(0, len(target), 8192):
             own = slice(at, at + 8192)
-            score = np.clip(self.hidden(context[:, own]) @ q.T + b, -60, 60)
-            chosen = score[np.arange(len(score)), target[own]].astype(float)
-            np.exp(score, out=score)
-            out[own] = chosen - np.log(score.sum(axis=1))
+            out[own] = _log_share(h[own] @ u[:, :d].T + u[:, d], group[own])
+        order = np.argsort(group, kind="stable")
+        ends = np.searchsorted(group[order], np.arange(len(self.first)))
+        for g in np.flatnonzero((np.diff(ends) > 0) & (np.diff(self.first) > 1)):
+            a, b = self.first[g], self.first[g + 1]
+            rows = order[ends[g] : ends[g + 1]]
+            for at in range(0, len(rows), 8192):
+                own = rows[at : at + 8192]
+                out[own] += _log_share(h[own] @ q[a:b, :d].T + q[a:b, d], target[own] - a)
         return out
 
-    def flat(self) -> np.ndarray:
-        return np.concatenate([a.ravel() for a in self.p]).astype(float)
+    def used(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Number, values and uses of the rows that training touched, over all parameters."""
+        uses = np.concatenate(self.uses)
+        rows = np.flatnonzero(uses)
+        return rows, np.concatenate(self.p)[rows], uses[rows]
+
+    def load(self, rows: np.ndarray, values: np.ndarray) -> None:
+        """Put values in the place of these rows; the others stay as they started."""
+        whole = np.concatenate(self.p)
+        whole[rows] = values
+        self.p = np.split(whole, np.cumsum([len(a) for a in self.p])[:-1])
+
+
+#: Sum of squared gradients that Adagrad starts from.
+START_SQUARE = 1.0
 
-    def load(self, values: np.ndarray) -> None:
-        at = 0
-        for n, a in enumerate(self.p):
-            self.p[n] = values[at : at + a.size].reshape(a.shape).astype(np.float32)
-            at += a.size
+
+class _Noise:
+    """Outputs drawn by their prior, and the log of their expected number."""
+
+    def __init__(self, prior: np.ndarray, size: int):
+        self.size = size
+        self.log = np.log(size * prior).astype(np.float32)
+        self.cdf = np.cumsum(prior)
+
+    def draw(self, rng: np.random.Generator) -> np.ndarray:
+        at = np.searchsorted(self.cdf, rng.random(self.size) * self.cdf[-1])
+        return np.minimum(at, len(self.cdf) - 1)
+
+
+def _rows(vectors: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    return np.concatenate([vectors, bias[:, None]], axis=1).astype(np.float32)
+
+
+def _log_share(score: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Log of the chosen column's share of the exponentials of each row."""
+    score = np.clip(score, -60, 60)
+    own = score[np.arange(len(score)), chosen].astype(float)
+    np.exp(score, out=score)
+    return own - np.log(score.sum(axis=1))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -226,30 +305,39 @@ def _added(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
 
 
 def train(docs: DataFrame, vocabulary: Vocabulary, text_column: str = "text") -> LogBilinear:
-    """Every task makes one pass over its texts; parameters are averaged by their tokens."""
+    """Every task makes one pass over its texts; vectors are averaged by their uses in the tasks.
+
+    A task sends the vectors that it used, at most one row each. So a rare token's vector is that
+    of the tasks that saw it, however many others there are.
+    """
     cfg, prior = vocabulary.cfg, vocabulary.prior
+    names = [f"v{k}" for k in range(cfg.dims + 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, rng, seen = LogBilinear(prior, cfg), np.random.default_rng(cfg.seed), 0
+        model, rng = LogBilinear(prior, cfg), np.random.default_rng(cfg.seed)
+        model.start_training()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 flat, sizes = tokens(batch.slice(at, 512).column(0).to_pylist())
                 out = vocabulary.outputs(flat)
                 model.train(contexts(out, sizes, cfg), out, rng)
-                seen += len(flat)
-        if seen:
-            values = model.flat() * seen
-            columns = [np.arange(len(values)), values, np.full(len(values), seen)]
+        rows, values, uses = model.used()
+        for at in range(0, len(rows), 8192):
+            own = slice(at, at + 8192)
+            sums = values[own].astype(float) * uses[own, None]
+            columns = [rows[own], uses[own], *sums.T.copy()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c) for c in columns], names=["place", "value", "weight"]
+                [pa.array(c) for c in columns], names=["place", "weight", *names]
             )
 
-    parts = docs.select(text_column).mapInArrow(run, "place long, value double, weight long")
-    mean = parts.groupBy("place").agg((F.sum("value") / F.sum("weight")).alias("value"))
+    schema = ", ".join(["place long", "weight long", *(f"{v} double" for v in names)])
+    parts = docs.select(text_column).mapInArrow(run, schema)
+    mean = parts.groupBy("place").agg(*((F.sum(v) / F.sum("weight")).alias(v) for v in names))
     model = LogBilinear(prior, cfg)
-    learned = mean.toArrow().sort_by("place")  # one row per parameter
+    learned = mean.toArrow()  # one row per vector
     if learned.num_rows:
-        model.load(learned["value"].to_numpy())
+        values = np.stack([learned[v].to_numpy() for v in names], axis=1)
+        model.load(learned["place"].to_numpy(), values.astype(np.float32))
     return model
 
 
@@ -275,6 +363,7 @@ def score(
     training = rows.where("learn").select("text")
     counts = materialize(token_counts(training), "token_counts")
     vocabulary = Vocabulary(counts, cfg)
+    cfg = vocabulary.cfg
     model = train(training, vocabulary)
     all_size = np.log10(vocabulary.total + 0.5 * (vocabulary.distinct + 1))
     class_size = np.log10(vocabulary.class_size)

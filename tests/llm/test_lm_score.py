@@ -106,3 +106,22 @@ def test_empty_table_no_training_rows_and_reruns(make_docs):
 def test_very_long_text(make_docs):
     r = lm_score.score_documents(make_docs([(1, "a b c d " * 100_000), (2, "a b")]), SMALL).collect()
     assert max(x.n_tokens for x in r) == 400_001
+
+
+def test_words_beyond_the_most_frequent_128_learn_what_follows(make_docs):
+    rng = random.Random(5)
+    docs = [(i, " ".join(f"x{n} y{n}" for n in rng.choices(range(300), k=100))) for i in range(500)]
+    rows = lm_score.score_documents(make_docs(docs), LmConfig(batch=64)).where("held_out").collect()
+    # Half of the words follow from the one before, which is worth log10(600) each.
+    gain = np.mean([(r.score - r.base_score) / r.n_tokens for r in rows])
+    assert gain > 0.5 * math.log10(600) / 2
+
+
+def test_probabilities_of_grouped_outputs_sum_to_one():
+    cfg, rng = LmConfig(own=500, classes=5), np.random.default_rng(1)
+    model = lm_score.LogBilinear(1 / np.arange(1, 506), cfg)
+    assert 5 < len(model.first) - 1 < 60 and max(np.diff(model.first)) > 5
+    model.train(rng.integers(0, 506, (3, 900)), rng.integers(0, 505, 900), rng)
+    context = rng.integers(0, 506, (3, 4))
+    each = np.exp([model.log_probability(context, np.full(4, o)) for o in range(505)])
+    assert each.sum(axis=0) == pytest.approx(1, abs=1e-5)
