@@ -138,8 +138,8 @@ def near_duplicates(
 
     component_id is the smallest doc_id reachable by links of the similarity, kept says that it
     is the row's own. Texts without words have no shingles and no links. Every row is there,
-    repeated ones too; a NULL id is never the smallest. An empty table gives no rows; other
-    columns are not looked at. text_hash is xxhash64(text).
+    repeated ones too; a NULL id is never the smallest, but its row links like any other. An
+    empty table gives no rows; other columns are not looked at. text_hash is xxhash64(text).
     """
     cfg = cfg or JoinConfig()
     rows = materialize(signed(docs, cfg, id_column, text_column), "signed")
@@ -147,14 +147,19 @@ def near_duplicates(
     classes = materialize(
         rows.where("n_shingles > 0")
         .groupBy("digest")
-        .agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.min("keys").alias("keys"))
+        .agg(
+            F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("row"),
+            F.first("n_shingles").alias("n"),
+            F.min("keys").alias("keys"),
+        )
+        .select("digest", "row.doc_id", "row.text_hash", "n", "keys")
         .withColumn("class", F.monotonically_increasing_id()),
         "set_classes",
     )
     entries = classes.select(F.explode("keys").alias("key"), "class", "n")
     shared = entries.groupBy("key").agg(F.count("*").alias("times")).where("times > 1")
     members = materialize(_with_pivots(entries.join(shared, "key")), "key_members")
-    sets = materialize(_sets_of(docs, classes, members, cfg, id_column, text_column), "sets")
+    sets = materialize(_sets_of(docs, rows, classes, members, cfg, id_column, text_column), "sets")
     together = materialize(members.select("pivot", "class", "n").distinct(), "together")
     release(members)
     first = _confirmed(together.where("class <> pivot").select("pivot", "class"), sets, cfg)
@@ -191,15 +196,23 @@ def _with_pivots(members: DataFrame) -> DataFrame:
     return members.drop("times").join(pivots.selectExpr("key", "pivot.class AS pivot"), "key")
 
 
-def _sets_of(docs, classes, members, cfg, id_column, text_column) -> DataFrame:
+def _sets_of(docs, rows, classes, members, cfg, id_column, text_column) -> DataFrame:
     """(class, n, shingles) of the classes that share a key, from the text of one document each.
 
-    Rows that repeat an id with another text are told apart by the digest.
+    The text is found by the id, which may be NULL, and the hash of one row. Texts of one hash are
+    told apart by the digest. Rows that repeat both give one set.
     """
     wanted = members.select("class").distinct().join(classes, "class")
-    wanted = wanted.select(F.col("doc_id").alias("_id"), "class", "digest")
+    wanted = wanted.select(
+        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "class", "digest"
+    )
     texts = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("text"))
-    chosen = texts.join(wanted, "_id").select("class", "digest", "text")
+    texts = texts.withColumn("_hash", F.xxhash64("text"))
+    # With the hash, NULL ids are as many keys as they have texts.
+    here = (texts["_hash"] == wanted["_hash"]) & texts["_id"].eqNullSafe(wanted["_id"])
+    chosen = texts.join(wanted, here).select("class", "digest", "text")
+    often = rows.where("n_shingles > 0").groupBy("doc_id", "text_hash", "digest").count()
+    often = often.where("count > 1").select("digest").distinct()
 
     def work(batch: pa.RecordBatch) -> Iterator[dict]:
         own, sizes, sets = [], [], []
@@ -213,7 +226,13 @@ def _sets_of(docs, classes, members, cfg, id_column, text_column) -> DataFrame:
                 sets.append(raw)
         yield {"class": own, "n": sizes, "shingles": sets}
 
-    return mapped(chosen, "class long, n long, shingles binary", work, rows=256)
+    schema = "class long, n long, shingles binary"
+    if often.isEmpty():
+        return mapped(chosen, schema, work, rows=256)
+    once = chosen.join(often, "digest", "left_anti").select("class", "digest", "text")
+    more = chosen.join(often, "digest", "left_semi").select("class", "digest", "text")
+    more = mapped(more, schema, work, rows=256).dropDuplicates(["class"])
+    return mapped(once, schema, work, rows=256).unionByName(more)
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, cfg: JoinConfig) -> DataFrame:

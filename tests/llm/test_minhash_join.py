@@ -89,6 +89,17 @@ def test_odd_rows(make_docs):
     assert {(9, True), (None, False), (3, True), (4, True), (6, False)} <= kept
 
 
+def test_near_copies_under_null_ids(make_docs, planted):
+    """Links among rows with a NULL id, of one with a row that has an id, and a chain through one."""
+    base = [f"w{i}" for i in range(100)]
+    chain = [" ".join([*(f"{c}{i}" for i in range(n)), *base[n:]]) for c, n in (("a", 0), ("b", 8), ("b", 16))]
+    docs = [(7, chain[0]), (None, chain[1]), (5, chain[2]), (None, chain[1]), (None, chain[1])]
+    docs += [(None if i % 3 == 0 else 100 + i, t) for i, t in planted]
+    assert [c for _, _, c in plain(docs[:1] + docs[2:3], 2)] == [7, 5]
+    got = same(minhash_join.near_duplicates(make_docs(docs), JoinConfig(shingle=2, task_shingles=2000)), docs, 2)
+    assert {(7, 99, 5), (5, 99, 5), (None, 99, 5)} <= set(got)
+
+
 def test_empty_tables(make_docs):
     assert minhash_join.near_duplicates(make_docs([])).count() == 0
     assert minhash_join.near_duplicates(make_docs([(1, None)])).collect()[0].kept
