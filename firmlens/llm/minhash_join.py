@@ -141,7 +141,17 @@ def near_duplicates(
     repeated ones too; a NULL id is never the smallest, but its row links like any other. An
     empty table gives no rows; other columns are not looked at. text_hash is xxhash64(text).
     """
-    cfg = cfg or JoinConfig()
+    found = _grouped_rows(docs, cfg or JoinConfig(), id_column, text_column)
+    return found.withColumn(
+        "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
+    ).select("doc_id", "text_hash", "n_shingles", "component_id", "kept")
+
+
+def _grouped_rows(docs: DataFrame, cfg: JoinConfig, id_column: str, text_column: str) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id and group, which no id is needed for.
+
+    group is the number of a component, and NULL where a text has no words.
+    """
     rows = materialize(signed(docs, cfg, id_column, text_column), "signed")
     # Documents of equal sets are one class, so that a group of copies is compared once.
     classes = materialize(
@@ -176,14 +186,15 @@ def near_duplicates(
         .withColumn("group", F.coalesce("component", "class"))
     )
     smallest = grouped.groupBy("group").agg(F.min("doc_id").alias("component_id"))
-    ids = grouped.select("digest", "group").join(smallest, "group").select("digest", "component_id")
+    ids = grouped.select("digest", "group").join(smallest, "group").select(
+        "digest", "group", "component_id"
+    )
     own = F.expr("IF(n_shingles > 0, component_id, doc_id)")
     return (
         rows.drop("keys")
         .join(ids, "digest", "left")
         .withColumn("component_id", own)
-        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
-        .select("doc_id", "text_hash", "n_shingles", "component_id", "kept")
+        .select("doc_id", "text_hash", "n_shingles", "component_id", "group")
     )
 
 
@@ -391,15 +402,22 @@ def _crossed(task: pa.Table, percent: int) -> pa.Table:
 def keep_one(docs: DataFrame, cfg: JoinConfig | None = None) -> DataFrame:
     """The rows of `docs` without near-duplicates: of each group, the one with the smallest id.
 
-    Rows are found again by id and text. Where one id repeats a kept text, one of the rows stays.
-    Texts without words all stay, and so do rows with a NULL id whose group has no other.
+    NULL ids come last, and of one id the text with the smallest hash stays. Rows are found
+    again by id and text; where one id repeats that text, one of the rows stays. Texts without
+    words all stay.
     """
-    found = near_duplicates(docs, cfg)
-    stay = found.where("kept OR n_shingles = 0 OR component_id IS NULL")
-    stay = stay.groupBy("doc_id", "text_hash").agg(
+    found = _grouped_rows(docs, cfg or JoinConfig(), "doc_id", "text")
+    found = found.groupBy("group", "doc_id", "text_hash").agg(
         F.max("n_shingles").alias("words"), F.count("*").alias("times")
     )
-    stay = materialize(stay, "kept")
+    found = materialize(found, "group_rows")
+    no_id = F.col("doc_id").isNull().alias("no_id")
+    first = found.where("words > 0").groupBy("group").agg(
+        F.min(F.struct(no_id, "doc_id", "text_hash", "words", "times")).alias("row")
+    )
+    columns = ["doc_id", "text_hash", "words", "times"]
+    blank = found.where("words = 0").select(columns)
+    stay = materialize(first.select("row.*").select(columns).unionByName(blank), "kept")
     number, text = fresh(docs, "kept_id"), fresh(docs, "kept_text")
     chosen = stay.select(
         F.col("doc_id").alias(number), F.col("text_hash").alias(text), "words", "times"

@@ -124,6 +124,21 @@ def test_stage_keeps_one_row_of_each_group(make_docs, planted):
     assert all(r.text == texts[r.doc_id] for r in rows if r.doc_id < 1000)
 
 
+def test_stage_keeps_one_row_of_groups_under_null_and_repeated_ids(make_docs):
+    def near(letter, n=3):
+        base = [f"{letter}{i}" for i in range(100)]
+        return [" ".join([*base[:-1], f"end{k}"]) for k in range(n)]
+
+    a, b, c, d = map(near, "abcd")
+    docs = [(None, a[0]), (None, a[0]), (None, a[1]), (None, b[0]), (None, b[0])]
+    docs += [(4, c[0]), (4, c[1]), (4, c[1]), (4, c[2]), (5, d[0]), (None, d[1]), (None, ""), (None, "")]
+    rows = minhash_join.keep_one(make_docs(docs)).collect()
+    kept = sorted((-1 if r.doc_id is None else r.doc_id, r.text[:1]) for r in rows)
+    assert kept == [(-1, ""), (-1, ""), (-1, "a"), (-1, "b"), (4, "c"), (5, "d")]
+    again = minhash_join.keep_one(make_docs(docs[::-1])).collect()
+    assert sorted(map(str, rows)) == sorted(map(str, again))
+
+
 def test_pigeonhole_any_signatures_within_the_distance_share_a_key():
     cfg, rng = JoinConfig(), np.random.default_rng(0)
     signer = minhash_join.Signer(cfg)
