@@ -25,7 +25,8 @@ def fitting_sample(
 
     The ids with the smallest hashes are taken, so that reruns agree. An id that is labelled more
     than once counts as 1 if any of its labels does. Only the ids (at most `most` rows) are
-    broadcast; documents are not moved. NULL labels, ids and texts are left out.
+    broadcast; documents are not moved. Of the rows that repeat an id, the text with the smallest
+    hash counts. NULL labels, ids and texts are left out.
     """
     known = labels.select(F.col(id_column).alias("doc_id"), F.col(label).cast("int").alias("y"))
     chosen = (
@@ -36,7 +37,9 @@ def fitting_sample(
         .limit(most)
     )
     texts = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
-    return texts.where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id")
+    found = texts.where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id")
+    one = F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("one")
+    return found.groupBy("doc_id").agg(one, F.max("y").alias("y")).select("doc_id", "one.text", "y")
 
 
 def with_scores(

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from firmlens.llm import boosting, quality, toxicity
+from firmlens.llm.labelled import fitting_sample
 
 LABELS = "doc_id long, quality int, toxic int"
 
@@ -142,3 +143,11 @@ def test_temperature_softens_overconfident_margins():
     p = net(x)
     assert 0.2 <= net.temperature <= 5.0
     assert abs(p.mean() - y.mean()) < 0.1 and isinstance(pa.array(p), pa.DoubleArray)
+
+
+def test_sample_has_one_row_of_a_repeated_id(spark, make_docs):
+    docs = make_docs([*((1, f"text {i}") for i in range(200)), (2, "b"), (2, None), (3, "c")])
+    labels = spark.createDataFrame([(1, 1, 0), (1, 0, 1), (2, 1, 0)], LABELS)
+    once, again = (fitting_sample(d, labels, "toxic", F.lit(True), 10).collect() for d in (docs, docs.orderBy(F.desc("text"))))
+    assert sorted((r.doc_id, r.y) for r in once) == [(1, 1), (2, 0)]
+    assert sorted(once) == sorted(again)
