@@ -14,11 +14,14 @@ from firmlens.llm import (
     minhash_join,
     mixing,
     oracle,
+    oracle_rules,
     packing,
     quality,
+    quality_rules,
     secret_scan,
     sharding,
     toxicity,
+    whitening,
 )
 from firmlens.llm.common import table
 
@@ -68,6 +71,14 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents")).drop("posterior")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -86,6 +97,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secret_scan": op8_secret_scan,
         "op9_minhash_join": op9_minhash_join,
         "op10_lm_score": op10_lm_score,
+        "op11_whitening": op11_whitening,
+        "op13_quality_rules": op13_quality_rules,
         "pipeline": pipeline,
     }
 
@@ -94,4 +107,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_sharding": oracle.SHARDING.format(limit=sharding.LIMIT),
         "op6_mixing": oracle.MIXING,
+        "op13_quality_rules": oracle_rules.statement(),
     }
