@@ -16,6 +16,7 @@ from firmlens.llm import (
     oracle,
     oracle_rules,
     packing,
+    prefix_trie,
     quality,
     quality_rules,
     secret_scan,
@@ -75,6 +76,10 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents")).drop("posterior")
 
@@ -98,6 +103,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_minhash_join": op9_minhash_join,
         "op10_lm_score": op10_lm_score,
         "op11_whitening": op11_whitening,
+        "op12_prefix_trie": op12_prefix_trie,
         "op13_quality_rules": op13_quality_rules,
         "pipeline": pipeline,
     }
