@@ -66,10 +66,10 @@ class PanelConfig:
     )
     # Small-sample factor n/(n-k): k counts the slopes, or slopes plus firm effects.
     hc1_k: str = "slopes"
-    # A firm with more rows than this is split over several join tasks.
+    # The rows of a firm with more than these are not shuffled to meet it.
     hot_rows: int = 1_000_000
     # What a repeated (firm, year) key does to the models: "allow" or "refuse".
-    duplicate_keys: str = "allow"
+    duplicate_keys: str = "refuse"
 
     def __post_init__(self):
         if self.hc1_k not in ("slopes", "slopes+firms"):

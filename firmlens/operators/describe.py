@@ -26,15 +26,23 @@ def frequency(df: DataFrame, key: str) -> DataFrame:
 
 
 def size_distribution(firms: DataFrame) -> DataFrame:
-    """All firms by size code."""
+    """All firms by size code; without any firm one row that says so, with no size."""
     counted = frequency(firms, "size").withColumn("size_label", fx.size_name("size"))
-    return counted.select(
+    counted = counted.select(
         "size", "size_label", "n", "percentage", F.col("total").alias("total_firms")
-    ).orderBy("size")
+    )
+    none = firms.agg(F.count(F.lit(1)).alias("n")).where("n = 0")
+    none = none.select(
+        *(
+            F.col("n").alias(c) if c in ("n", "total_firms") else F.lit(None).cast(kind).alias(c)
+            for c, kind in counted.dtypes
+        )
+    )
+    return counted.unionByName(none).orderBy("size")
 
 
 def liquidation_size_distribution(firms: DataFrame) -> DataFrame:
-    """Firms in liquidation by size code."""
+    """Firms in liquidation by size code; without any one row that counts 0."""
     return size_distribution(firms.where("liquidation")).withColumnRenamed(
         "total_firms", "liquidated_firms"
     )

@@ -19,16 +19,6 @@ def code_aggregates() -> list[Column]:
     ]
 
 
-def firm_codes(source: DataFrame, cfg: PanelConfig) -> DataFrame:
-    """Attributes without the name; `row_count` is the firm's rows in the window."""
-    return (
-        with_codes(statement_rows(source, cfg), cfg)
-        .where(not_excluded(cfg))
-        .groupBy("id")
-        .agg(*code_aggregates(), F.count(F.lit(1)).alias("row_count"))
-    )
-
-
 def firm_attributes(source: DataFrame, cfg: PanelConfig) -> DataFrame:
     """Attributes with the most frequent name; ties go to the first name in order.
 
@@ -49,12 +39,8 @@ def firm_attributes(source: DataFrame, cfg: PanelConfig) -> DataFrame:
 
 
 def eligible_firms(firms: DataFrame, cfg: PanelConfig) -> DataFrame:
-    """Going concerns above the size floor, without the excluded ownership type.
-
-    `foreign` is never NULL; naming it keeps the columns of every reader of this
-    filter equal, so that Spark runs the firm aggregation behind it only once.
-    """
+    """Going concerns above the size floor, without the excluded ownership type."""
     return firms.where(
         f"NOT liquidation AND size > {cfg.size_above} "
-        f"AND ownership != {cfg.excluded_ownership} AND foreign IS NOT NULL"
+        f"AND ownership != {cfg.excluded_ownership}"
     )

@@ -1,8 +1,10 @@
-"""Per-firm results of one grouped pass: panel profiles and regression moments.
+"""The firm table: one grouped pass from which all firm-level results are projections.
 
-What a report or a model needs to know about a firm is a sum, a maximum or a
-count over the firm's rows, so attributes and panel figures come from the same
-partial aggregation and no firm-year is joined, sorted or demeaned for it.
+What a report or a model needs to know about a firm is a sum, a maximum or a count over the
+firm's rows. One aggregation by firm holds them side by side: attribute codes, row and year
+counts, and for every model and period the count, sum and square sum of the dependent
+variable. So no firm-year is joined, sorted, expanded or demeaned for it. Spark leaves out
+the aggregates that a reader of the unwritten table does not ask for.
 """
 
 from __future__ import annotations
@@ -30,20 +32,49 @@ def _rows(source: DataFrame, cfg: PanelConfig) -> DataFrame:
     return rows.where(not_excluded(cfg)).withColumn("eligible", within_margins(cfg))
 
 
-def firm_profiles(source: DataFrame, cfg: PanelConfig) -> DataFrame:
-    """Eligible firms with at least one eligible row.
-
-    Columns: id, size, foreign, ownership (labels), n_obs (eligible rows) and
-    n_years (distinct years of those).
+def firm_table(source: DataFrame, cfg: PanelConfig) -> DataFrame:
+    """One row per firm: id, attribute codes, liquidation, row_count (rows in the window), n_obs
+    (eligible rows), years_m (their distinct years as bits), and per model j and period p
+    n_j_p, s_j_p and q_j_p: count, sum and sum of squares around their mean in the sample.
     """
-    firms = _rows(source, cfg).groupBy("id").agg(
+    rows = sample_columns(
+        scaled(_rows(source, cfg)), cfg, "eligible AND covid_period IS NOT NULL"
+    )
+    return rows.groupBy("id").agg(
         *code_aggregates(),
+        F.count(F.lit(1)).alias("row_count"),
         F.expr("count_if(eligible) AS n_obs"),
         *year_masks(cfg),
+        *[m for j, depvar in enumerate(cfg.depvars) for m in _period_moments(j, depvar, cfg)],
     )
+
+
+def _period_moments(j: int, depvar: str, cfg: PanelConfig) -> list[F.Column]:
+    moments = []
+    for p in range(len(cfg.periods)):
+        y = f"CASE WHEN covid_period = {p + 1} THEN `{depvar}` END"
+        moments += [
+            F.expr(f"cast(count({y}) AS double) AS n_{j}_{p}"),
+            F.expr(f"coalesce(sum({y}), 0D) AS s_{j}_{p}"),
+            F.expr(f"coalesce(var_pop({y}) * count({y}), 0D) AS q_{j}_{p}"),
+        ]
+    return moments
+
+
+def firm_codes(table: DataFrame) -> DataFrame:
+    """Attributes without the name; `row_count` is the firm's rows in the window."""
+    return table.select("id", "size", "foreign", "ownership", "liquidation", "row_count")
+
+
+def firm_profiles(table: DataFrame, cfg: PanelConfig) -> DataFrame:
+    """Eligible firms with at least one eligible row, from the firm table.
+
+    Columns: id, size, foreign, ownership (labels), n_obs (eligible rows) and
+    n_years (distinct years of those).
+    """
     masks = range(len(year_masks(cfg)))
     counted = " + ".join(f"coalesce(bit_count(years_{m}), 0)" for m in masks)
-    panel_firms = eligible_firms(firms, cfg).where("n_obs > 0")
+    panel_firms = eligible_firms(table, cfg).where("n_obs > 0")
     return with_labels(
         panel_firms.selectExpr(
             "id", "size", "foreign", "ownership", "n_obs", f"{counted} AS n_years"
@@ -63,45 +94,43 @@ def year_masks(cfg: PanelConfig) -> list[F.Column]:
     ]
 
 
-def firm_moments(source: DataFrame, cfg: PanelConfig) -> DataFrame:
-    """One row per (depvar, firm) in the sample: counts, mean and period deviations.
+def firm_moments(table: DataFrame, cfg: PanelConfig) -> DataFrame:
+    """One row per (depvar, firm) in the sample, from the firm table: counts, mean and deviations.
 
-    With y the dependent variable and p, q dummy periods: n, y_mean, ss = sum of squares
-    around y_mean, n_p, w_p = sum of y in p minus n_p y_mean, and the demeaned period
-    cross product g_pq = n_p [p = q] - n_p n_q / n.
+    With y the dependent variable and p, q periods: n, y_mean, ss_in = sum of squares around
+    the period means, ss = sum of squares around y_mean, n_p, w_p = sum of y - y_mean in p,
+    and of dummy periods the demeaned cross product g_pq = n_p [p = q] - n_p n_q / n.
     """
-    sample = sample_columns(
-        scaled(_rows(source, cfg)), cfg, "eligible AND covid_period IS NOT NULL"
-    ).unpivot(
-        ["id", "size", "foreign", "ownership", "liquidation", "covid_period"],
-        list(cfg.depvars),
-        "depvar",
-        "y",
+    periods = range(len(cfg.periods))
+    fields = [f"{c}_{{j}}_{p} AS {c}_{p}" for c in "nsq" for p in periods]
+    models = ", ".join(
+        f"struct('{depvar}' AS depvar, {', '.join(fields).format(j=j)})"
+        for j, depvar in enumerate(cfg.depvars)
     )
-    # Rows outside the sample stay, with a NULL y: attributes look at every year.
-    aggregates = [
-        *code_aggregates(),
-        F.expr("cast(count(y) AS double) AS n"),
-        F.expr("sum(y) AS y_sum"),
-        F.expr("var_pop(y) * count(y) AS ss"),
-    ]
-    for p in dummies(cfg):
-        of_period = f"CASE WHEN covid_period = {p + 1} THEN y END"
-        aggregates.append(F.expr(f"cast(count({of_period}) AS double) AS n_{p}"))
-        aggregates.append(F.expr(f"coalesce(sum({of_period}), 0D) AS s_{p}"))
-    firms = eligible_firms(sample.groupBy("id", "depvar").agg(*aggregates), cfg).where("n > 0")
+    long = eligible_firms(table, cfg).selectExpr(
+        "id", "size", "foreign", "ownership", f"inline(array({models}))"
+    )
+    total = " + ".join
+    long = long.withColumns(
+        {
+            "n": F.expr(total(f"n_{p}" for p in periods)),
+            "ss_in": F.expr(total(f"q_{p}" for p in periods)),
+        }
+    ).where("n > 0")
+    long = long.withColumn("y_mean", F.expr(f"({total(f's_{p}' for p in periods)}) / n"))
     # A code that is no level has no label and leaves the model.
-    labelled = with_labels(firms, cfg).where(
+    labelled = with_labels(long, cfg).where(
         "size IS NOT NULL AND foreign IS NOT NULL AND ownership IS NOT NULL"
     )
-    counts = [f"n_{p}" for p in dummies(cfg)]
-    deviations = [f"s_{p} - n_{p} * (y_sum / n) AS w_{p}" for p in dummies(cfg)]
+    labelled = labelled.withColumns({f"w_{p}": F.expr(f"s_{p} - n_{p} * y_mean") for p in periods})
+    between = total(f"coalesce(try_divide(w_{p} * w_{p}, n_{p}), 0D)" for p in periods)
     products = [
         f"{f'n_{p}' if p == q else '0D'} - n_{p} * n_{q} / n AS g_{p}{q}" for p, q in pairs(cfg)
     ]
     return labelled.selectExpr(
         "depvar", "id", "size", "foreign", "ownership",
-        "n", "y_sum / n AS y_mean", "ss", *counts, *deviations, *products,
+        "n", "y_mean", "ss_in", f"ss_in + {between} AS ss",
+        *[f"n_{p}" for p in periods], *[f"w_{p}" for p in periods], *products,
     )
 
 

@@ -3,9 +3,10 @@
 Every regressor is (period dummy) x (firm attribute dummy), so the demeaned cross
 products of a firm depend on its rows only through the period counts and period
 sums of `firm_moments`. Their products, summed over the firms that share an
-attribute profile, determine slopes, fit and the clustered covariance alike: the
-whole model batch needs one grouped pass, and what reaches the driver is one row
-per (dependent variable, attribute profile), whatever the number of firms.
+attribute profile, determine the slopes. A second pass over the written moments takes each
+firm's residual sums, and from them the residual square sum, as a sum of parts that are not
+negative, and the clustered covariance. What reaches the driver is one row per
+(dependent variable, attribute profile), whatever the number of firms.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from firmlens.operators.profile import dummies, pairs
 
 # A regressor whose variation beyond earlier ones is below this share is collinear.
 COLLINEAR_SHARE = 1e-10
+# A residual share below this is rounding alone: the fit is exact and has no F.
+EXACT_SHARE = 1e-27
 
 
 @dataclass(frozen=True)
@@ -89,6 +92,8 @@ def profile_sums(moments: DataFrame, cfg: PanelConfig) -> DataFrame:
     return moments.groupBy("depvar", *PROFILE).agg(
         F.expr("cast(sum(n) AS bigint) AS obs"),
         F.expr("count(1) AS firms"),
+        # Square sum of an attribute's own dummy around the firm mean.
+        F.expr("sum(n - n * n / n) AS g_own"),
         *[F.expr(f"sum({c}) AS {c}") for c in ("ss", *w, *g)],
     )
 
@@ -103,6 +108,8 @@ class Fit:
     tss: float
     rss: float
     gram: np.ndarray
+    # Within-firm square sum of attribute main effects, by (attribute, level).
+    own: dict
     xy: np.ndarray
     kept: np.ndarray
     status: list[str]
@@ -110,7 +117,7 @@ class Fit:
     inverse: np.ndarray
     # (size, foreign, ownership) -> slope of each dummy period for such a firm
     effects: dict = field(default_factory=dict)
-    # Of the slopes; `clustered` fills it in.
+    # Of the slopes.
     cov: np.ndarray | None = None
 
     @property
@@ -131,7 +138,9 @@ class Fit:
 
     @property
     def f_stat(self) -> float | None:
-        return f_statistic(self.r2, self.k, self.df)
+        if self.tss <= 0 or self.rss <= EXACT_SHARE * self.tss or self.df <= 0 or self.k == 0:
+            return None
+        return (self.tss - self.rss) / self.k / (self.rss / self.df)
 
 
 def adjusted_r2(r2: float | None, obs: int, df: int) -> float | None:
@@ -145,21 +154,28 @@ def f_statistic(r2: float | None, k: int, df: int) -> float | None:
 
 
 def fit_models(moments: DataFrame, cfg: PanelConfig) -> list[Fit]:
-    """Estimate every model. Collects at most models x attribute profiles rows."""
+    """Estimate every model, in two passes over the moments, which should be written.
+
+    Each pass collects at most models x attribute profiles rows.
+    """
     rows = [r.asDict() for r in profile_sums(moments, cfg).collect()]
     by_model = {d: [r for r in rows if r["depvar"] == d] for d in cfg.depvars}
-    return [_fit(d, profiles, cfg) for d, profiles in by_model.items() if profiles]
+    fits = [_slopes(d, profiles, cfg) for d, profiles in by_model.items() if profiles]
+    return _with_residuals(moments, fits, cfg) if fits else []
 
 
-def _fit(depvar: str, profiles: list[dict], cfg: PanelConfig) -> Fit:
+def _slopes(depvar: str, profiles: list[dict], cfg: PanelConfig) -> Fit:
     terms = model_terms(cfg)
     size = len(terms)
 
     def g(p: int, q: int) -> str:
         return f"g_{min(p, q)}{max(p, q)}"
 
-    gram, xy = np.zeros((size, size)), np.zeros(size)
+    gram, xy, own = np.zeros((size, size)), np.zeros(size), {}
     for row in profiles:
+        for attribute in PROFILE:
+            level = (attribute, row[attribute])
+            own[level] = own.get(level, 0.0) + row["g_own"]
         for i, a in enumerate(terms):
             if a.applies(row):
                 xy[i] += row[f"w_{a.period}"]
@@ -183,32 +199,38 @@ def _fit(depvar: str, profiles: list[dict], cfg: PanelConfig) -> Fit:
             if t.applies(row):
                 c[t.period] += float(slope)
         effects[(row["size"], row["foreign"], row["ownership"])] = list(c.values())
-    rss = max(tss - float(beta @ xy), 0.0)
-    return Fit(depvar, obs, firms, tss, rss, gram, xy, kept, status, beta, inverse, effects)
+    return Fit(depvar, obs, firms, tss, math.nan, gram, own, xy, kept, status, beta, inverse, effects)
 
 
-def clustered(moments: DataFrame, fits: list[Fit], cfg: PanelConfig) -> list[Fit]:
-    """The fits with their firm-clustered covariance.
+def _with_residuals(moments: DataFrame, fits: list[Fit], cfg: PanelConfig) -> list[Fit]:
+    """The fits with their residual square sum and firm-clustered covariance.
 
-    The score of a firm for (p, z) is z u_p, with u_p the sum of its residuals in p. Products
-    of the u are summed by (depvar, attribute profile), after each firm's residuals are taken,
-    so that close fits keep their digits.
+    With u_p the sum of a firm's residuals in period p, its square sum is ss_in plus u_p^2 / n_p
+    over all periods, and its score for (p, z) is z u_p. Both are taken firm by firm before
+    anything is added up, so that close fits keep their digits.
     """
     terms = model_terms(cfg)
+    baseline = f"({' + '.join(f'u_{p}' for p in dummies(cfg))})" if dummies(cfg) else "0D"
+    squares = [f"try_divide(u_{p} * u_{p}, n_{p})" for p in dummies(cfg)]
+    # A firm's residuals add up to zero.
+    squares.append(f"try_divide({baseline} * {baseline}, n_0)")
+    rss = " + ".join(["ss_in", *(f"coalesce({s}, 0D)" for s in squares)])
     sums = _residual_sums(moments, fits, cfg).groupBy("depvar", *PROFILE).agg(
-        *[F.expr(f"sum(u_{p} * u_{q}) AS u_{p}{q}") for p, q in pairs(cfg)]
+        F.expr(f"sum({rss}) AS rss"),
+        *[F.expr(f"sum(u_{p} * u_{q}) AS u_{p}{q}") for p, q in pairs(cfg)],
     )
     rows = [r.asDict() for r in sums.collect()]  # at most models x attribute profiles
     out = []
     for f in fits:
-        meat = np.zeros((len(terms), len(terms)))
-        for row in (r for r in rows if r["depvar"] == f.depvar):
+        meat, own = np.zeros((len(terms), len(terms))), [r for r in rows if r["depvar"] == f.depvar]
+        for row in own:
             for (i, a), (j, b) in itertools.product(enumerate(terms), repeat=2):
                 if a.applies(row) and b.applies(row):
                     meat[i, j] += row[f"u_{min(a.period, b.period)}{max(a.period, b.period)}"]
         counted = f.k + (f.firms if cfg.hc1_k == "slopes+firms" else 0)
         factor = f.obs / (f.obs - counted) if f.obs > counted else math.nan
-        out.append(replace(f, cov=factor * f.inverse @ meat @ f.inverse))
+        cov = factor * f.inverse @ meat @ f.inverse
+        out.append(replace(f, rss=math.fsum(r["rss"] for r in own), cov=cov))
     return out
 
 
@@ -283,18 +305,19 @@ def moment_table(spark: SparkSession, fits: list[Fit], cfg: PanelConfig) -> Data
 
 
 def aliased_table(spark: SparkSession, fits: list[Fit], cfg: PanelConfig) -> DataFrame:
-    """Every column of the model matrix and whether its slope is estimable.
+    """Every column of the model matrix, its variation within firms, and whether it has a slope.
 
-    Attribute main effects are constant within a firm, and levels that the
-    eligibility filter removes never occur: neither varies within firms.
+    Attribute main effects are constant within a firm, and levels that the eligibility filter
+    removes never occur, so they have none.
     """
     position = {t.name: i for i, t in enumerate(model_terms(cfg))}
     rows = []
     for f in fits:
+        main = {f"{a.capitalize()}{level}": v for (a, level), v in f.own.items()}
         for name, term in full_model_terms(cfg):
             i = position[name] if term else None
-            variation = float(f.gram[i, i]) if term else 0.0
-            status = f.status[i] if term else "no within variation"
+            variation = float(f.gram[i, i]) if term else main.get(name, 0.0)
+            status = f.status[i] if term else "varies" if variation > 0 else "no within variation"
             rows.append((f.depvar, name, variation, status))
     return spark.createDataFrame(rows, "depvar string, term string, within_ss double, status string")
 

@@ -5,28 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Most keys that are joined without a shuffle. A key beyond them has less than this share of the rows.
+HOT_KEYS = 1000
+
 
 def attach_by_key(
-    rows: DataFrame, per_key: DataFrame, keys: list[str], weight: str, hot_rows: int
+    rows: DataFrame,
+    per_key: DataFrame,
+    keys: list[str],
+    weight: str,
+    hot_rows: int,
+    hot_keys: int = HOT_KEYS,
 ) -> DataFrame:
     """Inner join `rows` to the unique-keyed `per_key`, whose `weight` counts rows per key.
 
-    A key with more than `hot_rows` rows is split over weight / hot_rows join
-    partitions: its rows get a salt from a hash of their other columns, so that they
-    spread however the input is partitioned, and its `per_key` row is repeated once per salt. The broadcast list of hot keys has at
-    most (all rows / hot_rows) entries, since each of them stands for more than
-    `hot_rows` rows.
+    The keys with more than `hot_rows` rows, the `hot_keys` largest at most, are sent to all
+    tasks, and their rows stay where they are, equal rows too: no task gets more of a hot key than it read. All
+    other rows are shuffled by key; a key among them has at most `hot_rows` rows or less than
+    1 / `hot_keys` of all. Without hot keys, adaptive execution drops the first branch before it
+    scans anything.
     """
-    pieces = f"cast(ceil({weight} / {hot_rows}D) AS int)"
-    hot = per_key.where(f"{weight} > {hot_rows}").selectExpr(*keys, f"{pieces} AS _pieces")
-    other = [c for c in rows.columns if c not in keys]
-    salt = F.pmod(F.xxhash64(*(other or keys)), F.coalesce("_pieces", F.lit(1)))
-    salted = (
-        rows.join(F.broadcast(hot), keys, "left")
-        .withColumn("_salt", salt.cast("int"))
-        .drop("_pieces")
-    )
-    repeated = per_key.withColumn(
-        "_salt", F.expr(f"explode(sequence(0, greatest({pieces}, 1) - 1))")
-    )
-    return salted.join(repeated, [*keys, "_salt"]).drop("_salt")
+    hot = per_key.where(F.col(weight) > hot_rows).orderBy(F.desc(weight), *keys).limit(hot_keys)
+    in_place = rows.join(F.broadcast(hot), keys)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return in_place.unionByName(rest.join(per_key, keys))

@@ -28,18 +28,22 @@ def _of_level(t: Term, value: str) -> str:
     return f"{value} AS {t.column}"
 
 
-def within_transform(source: DataFrame, moments: DataFrame, cfg: PanelConfig) -> DataFrame:
+def firm_means(moments: DataFrame, cfg: PanelConfig) -> DataFrame:
+    """One row per firm with its means of every model, and its largest number of rows in one."""
+    means = ["n", "y_mean", *[f"n_{p}" for p in dummies(cfg)]]
+    return moments.groupBy("id", "size", "foreign", "ownership").agg(
+        F.expr(f"collect_list(struct(depvar, {', '.join(means)})) AS means"),
+        F.expr("cast(max(n) AS bigint) AS n_obs"),
+    )
+
+
+def within_transform(source: DataFrame, firms: DataFrame, cfg: PanelConfig) -> DataFrame:
     """Sample rows of every model with y and regressors minus their firm means.
 
-    The means come from the firm moments, one set per model, so rows meet their firm
+    `firms` is the written result of `firm_means`, one set per model, so rows meet their firm
     once and are laid out by model afterwards. The firm mean of (period p) x
     (level z) is z n_p / n.
     """
-    means = ["n", "y_mean", *[f"n_{p}" for p in dummies(cfg)]]
-    firms = moments.groupBy("id", "size", "foreign", "ownership").agg(
-        F.expr(f"collect_list(struct(depvar, {', '.join(means)})) AS means"),
-        F.expr("cast(max(n) AS bigint) AS n_obs"),
-    )
     rows = sample_columns(
         scaled(panel_metrics(source, cfg).where(within_margins(cfg))), cfg, "covid_period IS NOT NULL"
     ).select("id", "year", "covid_period", *cfg.depvars)

@@ -124,11 +124,11 @@ def _panel_ctes(cfg: PanelConfig) -> dict[str, str]:
     return {
         "frows": f"""
   SELECT mb, year, name, AOP9005, AOP1001, AOP59,
-    CASE WHEN AOP9005 IS NULL OR AOP1001 IS NULL OR AOP59 IS NULL THEN 3
+    CASE WHEN AOP9005 IS NULL OR AOP1001 IS NULL OR AOP59 IS NULL THEN {cfg.default_size}
          WHEN {_votes(cfg, 0)} >= 2 THEN 1 WHEN {_votes(cfg, 1)} >= 2 THEN 2
-         WHEN {_votes(cfg, 2)} >= 2 THEN 3 WHEN {_votes(cfg, 3)} >= 2 THEN 4 ELSE 3 END AS size,
+         WHEN {_votes(cfg, 2)} >= 2 THEN 3 WHEN {_votes(cfg, 3)} >= 2 THEN 4 ELSE {cfg.default_size} END AS size,
     AOP9003 IS NOT NULL AND AOP9003 > 0 AS is_foreign,
-    CAST(coalesce(AOP9002, 2) AS INT) AS ownership,
+    CAST(coalesce(AOP9002, {cfg.default_ownership}) AS INT) AS ownership,
     name IS NOT NULL AND ({liquidation}) AS liquidation
   FROM panel WHERE year > {cfg.year_after} AND year < {cfg.year_before}""",
         "firms": f"""
@@ -346,6 +346,13 @@ SELECT depvar, term, {_significant("v")} AS within_ss,
 FROM ({rows})"""
 
 
+def repeated_source(where: str) -> dict[str, str]:
+    """The CTEs of the stand-in panel, with the rows that `where` names twice."""
+    ctes = {("panel_once" if k == "panel" else k): text for k, text in _STAND_IN_CTES.items()}
+    twice = f"SELECT * FROM panel_once UNION ALL SELECT * FROM panel_once WHERE {where}"
+    return ctes | {"panel": twice}
+
+
 def statements(cfg: PanelConfig = STAND_IN, source: dict[str, str] | None = None) -> dict[str, str]:
     """SQL of every report with a counterpart.
 
@@ -430,9 +437,20 @@ FROM firms f LEFT JOIN (
   FROM frows WHERE name IS NOT NULL GROUP BY mb, name) n ON n.mb = f.id AND n.rn = 1""",
             "firms",
         ),
-        "size_distribution": _statement(size_counts("", "total_firms"), "firms"),
+        "size_distribution": _statement(
+            size_counts("", "total_firms")
+            + "\nUNION ALL SELECT NULL, NULL, 0, NULL, 0 FROM firms HAVING count(*) = 0",
+            "firms",
+        ),
         "liquidation_size_distribution": _statement(
-            size_counts("WHERE liquidation", "liquidated_firms"), "firms"
+            size_counts("WHERE liquidation", "liquidated_firms")
+            + """
+UNION ALL SELECT NULL, NULL, 0, NULL, 0 FROM firms HAVING coalesce(count_if(liquidation), 0) = 0""",
+            "firms",
+        ),
+        "repeated_keys": _statement(
+            "SELECT id, year, count(*) AS n FROM merged GROUP BY id, year HAVING count(*) > 1",
+            "merged",
         ),
         "covid_period": _statement(
             f"SELECT id, year, covid_period, {_period(cfg, 'year', lambda _, label: label)} AS period_label FROM metrics",

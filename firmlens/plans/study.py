@@ -15,12 +15,16 @@ from firmlens.sources.sinks import materialize, release, write_csv
 from firmlens.sources.statements import source_profile
 
 
+# Panel columns that the summary reports read.
+REPORTED = ("id", "year", "size", "ownership", *describe.SIZE_STAT_MEASURES.values())
+
+
 class PanelStudy:
     """Reports of one statement table under one configuration.
 
     Reports are lazy, but for what they share: the first report of medians writes the
     measures, the first of a model fits all models. Call `materialized()` before asking for many
-    reports, so that they read the written panel and profiles, and `close()` once their
+    reports, so that they read the written firms and measures, and `close()` once their
     results are used: it removes what the study wrote.
 
     `raw` is the table as it came, before it was typed; the source profile looks at it.
@@ -37,15 +41,14 @@ class PanelStudy:
     def materialized(self) -> PanelStudy:
         """The same study with its intermediate tables written once."""
         study = PanelStudy(self.source, self.cfg, self.raw)
-        study.firms = materialize(self.firms, "firms")
-        study.profiles = materialize(self.profiles, "profiles")
-        study.moment_rows = self.moment_rows
-        study.panel = materialize(study.panel, "panel")  # joins the written firms
-        study.measures = study.panel
+        study.firm_table = study.firm_rows  # so that all reports read it
+        study.measures  # writes them, joined with the written firms
         return study
 
     def close(self) -> None:
-        """Remove the tables that this study wrote; its reports can't be read after that."""
+        """Remove the tables that this study and its runs wrote; reports can't be read after that."""
+        for study in self.__dict__.pop("_ran", []):
+            study.close()
         release(*(v for v in self.__dict__.values() if isinstance(v, DataFrame)))
 
     def __enter__(self) -> PanelStudy:
@@ -57,45 +60,56 @@ class PanelStudy:
     # Intermediate tables
 
     @cached_property
+    def firm_table(self) -> DataFrame:
+        """All that is known of each firm, from one grouped pass."""
+        return profile.firm_table(self.source, self.cfg)
+
+    @cached_property
+    def firm_rows(self) -> DataFrame:
+        """The firm table written once, for what reads it more than once."""
+        return materialize(self.firm_table, "firm_table")
+
+    @property
     def firms(self) -> DataFrame:
-        return firms.firm_codes(self.source, self.cfg)
+        return profile.firm_codes(self.firm_table)
+
+    @cached_property
+    def code_rows(self) -> DataFrame:
+        """The firm codes written once: the list of hot firms and the join both read them."""
+        if "firm_rows" in self.__dict__:
+            return profile.firm_codes(self.firm_rows)
+        return materialize(self.firms, "firm_codes")
 
     @cached_property
+    def mean_rows(self) -> DataFrame:
+        return materialize(within.firm_means(self.moments, self.cfg), "firm_means")
+
+    @property
     def profiles(self) -> DataFrame:
-        return profile.firm_profiles(self.source, self.cfg)
+        return profile.firm_profiles(self.firm_table, self.cfg)
 
     @cached_property
     def panel(self) -> DataFrame:
-        return panel.merged_panel(self.source, self.firms, self.cfg)
+        return panel.merged_panel(self.source, self.code_rows, self.cfg)
 
     @cached_property
     def measures(self) -> DataFrame:
         """Panel columns of the summary reports, written once: medians take three passes."""
-        columns = ("id", "year", "size", "ownership", *describe.SIZE_STAT_MEASURES.values())
-        return materialize(self.panel.select(*columns), "measures")
+        return materialize(self.panel.select(*REPORTED), "measures")
 
-    @cached_property
+    @property
     def moments(self) -> DataFrame:
-        return profile.firm_moments(self.source, self.cfg)
-
-    @cached_property
-    def moment_rows(self) -> DataFrame:
-        """The firm moments written once, for reports that read them more than once."""
-        return materialize(self.moments, "moments")
+        """Moments of each firm and model, as a projection of the written firm table."""
+        return profile.firm_moments(self.firm_rows, self.cfg)
 
     @cached_property
     def fits(self) -> list[regression.Fit]:
         if self.cfg.duplicate_keys == "refuse":
-            surplus = describe.panel_key_check(self.profiles).first().surplus_rows
+            profiles = profile.firm_profiles(self.firm_rows, self.cfg)
+            surplus = describe.panel_key_check(profiles).first().surplus_rows
             if surplus:
-                raise ValueError(f"{surplus} rows beyond one per firm and year")
-        moments = self.__dict__.get("moment_rows", self.moments)
-        return regression.fit_models(moments, self.cfg)
-
-    @cached_property
-    def clustered(self) -> list[regression.Fit]:
-        """The fits with clustered errors: a second pass over the written moments."""
-        return regression.clustered(self.moment_rows, self.fits, self.cfg)
+                raise ValueError(f"{surplus} rows beyond one per firm and year, see repeated_keys()")
+        return regression.fit_models(self.moments, self.cfg)
 
     # Source and firms
 
@@ -164,6 +178,9 @@ class PanelStudy:
     def panel_key_check(self) -> DataFrame:
         return describe.panel_key_check(self.profiles)
 
+    def repeated_keys(self) -> DataFrame:
+        return describe.duplicate_keys(self.panel)
+
     def size_stats(self) -> DataFrame:
         return describe.size_stats(self.measures)
 
@@ -185,7 +202,7 @@ class PanelStudy:
         return within.design_matrix(self.panel, self.cfg)
 
     def within_transform(self) -> DataFrame:
-        return within.within_transform(self.source, self.moment_rows, self.cfg)
+        return within.within_transform(self.source, self.mean_rows, self.cfg)
 
     def within_moments(self) -> DataFrame:
         return regression.moment_table(self.spark, self.fits, self.cfg)
@@ -194,14 +211,14 @@ class PanelStudy:
         return regression.aliased_table(self.spark, self.fits, self.cfg)
 
     def firm_scores(self) -> DataFrame:
-        return regression.firm_scores(self.moment_rows, self.fits, self.cfg)
+        return regression.firm_scores(self.moments, self.fits, self.cfg)
 
     def fe_cluster_cov(self) -> DataFrame:
-        return regression.covariance_table(self.spark, self.clustered, self.cfg)
+        return regression.covariance_table(self.spark, self.fits, self.cfg)
 
     def fe_coefficients(self) -> DataFrame:
         """Estimates, clustered errors, t and p values and stars."""
-        return regression.coefficient_table(self.spark, self.clustered, self.cfg)
+        return regression.coefficient_table(self.spark, self.fits, self.cfg)
 
     def fe_models(self) -> DataFrame:
         """Unrounded model records."""
@@ -239,8 +256,12 @@ class PanelStudy:
     )
 
     def run(self, output: str) -> dict[str, DataFrame]:
-        """Make every printed report and write the model summary as CSV to `output`."""
+        """Make every printed report and write the model summary as CSV to `output`.
+
+        The reports read tables that `close()` removes.
+        """
         study = self.materialized()
+        self.__dict__.setdefault("_ran", []).append(study)
         reports = {name: getattr(study, name)() for name in self.REPORTS}
         summary = reports["fe_summary"].select(
             F.col("depvar").alias("Variable"),

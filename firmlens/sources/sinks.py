@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,11 +44,15 @@ def release(*tables: DataFrame) -> None:
 def shared_folder(spark: SparkSession) -> str:
     """The folder in `spark.checkpoint.dir`, else the context's checkpoint folder.
 
-    Where neither is set, a folder in the warehouse, which all executors share too.
+    Where neither is set, a folder in the warehouse, if all executors can be taken to share it: on a
+    cluster its path must name a store other than a machine's own disk.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
         folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/_intermediate"
+        one_machine = re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master)
+        if not one_machine and re.match(r"file:|/|(?!\w+:)", folder):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return folder.rstrip("/")

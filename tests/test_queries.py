@@ -6,6 +6,8 @@ import re
 
 import pytest
 
+from firmlens import PanelStudy
+
 import __spark_entry__ as contract
 
 duckdb = pytest.importorskip("duckdb")
@@ -42,7 +44,7 @@ def test_every_query_has_sql():
     # The training-data queries, where they are there, have tests of their own.
     own = {n for n in QUERIES if not re.match(r"op\d+_|pipeline$", n)}
     assert own <= set(ORACLE) <= set(QUERIES)
-    assert len(own) == 34
+    assert len(own) == 36
 
 
 def test_entry(spark):
@@ -55,11 +57,23 @@ def test_no_cross_joins(spark, sf_dir, name):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
-def test_profiles_need_one_exchange_and_no_join(spark, stand_in):
+def test_firm_level_work_is_one_scan_and_one_exchange(spark, stand_in, tmp_path):
+    """Attributes, profiles and moments of a written source come from one grouped pass."""
     from firmlens.config import STAND_IN
-    from firmlens.operators.profile import firm_moments, firm_profiles
-
-    for df in (firm_profiles(stand_in, STAND_IN), firm_moments(stand_in, STAND_IN)):
+    from firmlens.operators.profile import firm_codes, firm_moments, firm_profiles, firm_table
+    from firmlens.sources import read_statements, release
+
+    path = str(tmp_path / "source")
+    stand_in.write.parquet(path)
+    study = PanelStudy(read_statements(spark, path), STAND_IN)
+    plan = study.firm_table._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange hashpartitioning") == 1
+    assert "Join" not in plan and "Expand" not in plan
+    written = study.firm_rows
+    for df in (firm_codes(written), firm_profiles(written, STAND_IN), firm_moments(written, STAND_IN)):
         plan = df._jdf.queryExecution().executedPlan().toString()
-        plan = plan.split("InMemoryRelation")[0]
-        assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+        assert "Exchange" not in plan and plan.count("FileScan") == 1 and path not in plan
+    # What a reader of the unwritten table doesn't ask for is not computed.
+    plan = firm_codes(firm_table(study.source, STAND_IN))._jdf.queryExecution().executedPlan().toString()
+    assert "AOP1043" not in plan.split("FileScan")[1]
+    release(written)

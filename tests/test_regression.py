@@ -68,7 +68,7 @@ def dummy_variable_fit(sample):
 
 @pytest.mark.parametrize("depvar", DEPENDENT_VARIABLES)
 def test_against_dummy_variable_regression(study, samples, depvar):
-    fit = next(f for f in study.clustered if f.depvar == depvar)
+    fit = next(f for f in study.fits if f.depvar == depvar)
     beta, cov, r2 = dummy_variable_fit(samples[depvar])
     assert np.allclose(fit.beta, beta, rtol=1e-8, atol=1e-9 * np.abs(beta).max())
     assert np.allclose(fit.cov, cov, rtol=1e-7, atol=1e-10 * np.abs(cov).max())
@@ -160,7 +160,7 @@ def test_rank_deficient_sample_without_baseline_period(spark):
 
 def test_hc1_factor(stand_in, study):
     other = PanelStudy(stand_in, dataclasses.replace(STAND_IN, hc1_k="slopes+firms"))
-    a, b = study.clustered[0], other.clustered[0]
+    a, b = study.fits[0], other.fits[0]
     ratio = (a.obs - a.k) / (a.obs - a.k - a.firms)
     assert np.allclose(b.cov, a.cov * ratio)
     with pytest.raises(ValueError):
@@ -207,7 +207,7 @@ def test_clustered_errors_keep_their_digits_on_a_close_fit(spark):
                 }
             )
     study = PanelStudy(statements(spark, *rows), PanelConfig())
-    fit = next(f for f in study.clustered if f.depvar == "OperatingRevenue_mil")
+    fit = next(f for f in study.fits if f.depvar == "OperatingRevenue_mil")
     design = {(r.id, r.year): list(r[2:]) for r in study.design_matrix().collect()}
     sample = [(r.id, r.y, design[(r.id, r.year)]) for r in study.regression_sample().collect() if r.depvar == fit.depvar]
     # Row-level residuals from demeaned columns, where no large level is left to cancel.
@@ -222,5 +222,8 @@ def test_clustered_errors_keep_their_digits_on_a_close_fit(spark):
     scores = np.array([x[ids == i].T @ residuals[ids == i] for i in np.unique(ids)])
     bread = np.linalg.inv(x.T @ x)
     cov = len(y) / (len(y) - fit.k) * bread @ scores.T @ scores @ bread
+    rss, tss = residuals @ residuals, y @ y
+    assert fit.rss == pytest.approx(rss, rel=1e-6) and fit.tss == pytest.approx(tss, rel=1e-12)
+    assert fit.f_stat == pytest.approx((tss - rss) / fit.k / (rss / fit.df), rel=1e-6)
     assert np.allclose(np.diag(fit.cov), np.diag(cov), rtol=1e-4)
     assert (np.diag(fit.cov) > 0).all()

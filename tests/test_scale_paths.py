@@ -15,8 +15,8 @@ from firmlens.sources import materialize, read_statements, release, shared_folde
 from helpers import statements
 
 
-def test_hot_key_is_split_when_rows_are_partitioned_by_it(spark):
-    rows = spark.range(3000).selectExpr("CASE WHEN id % 3 = 0 THEN 1 ELSE id END AS k", "id AS v").repartition(8, "k")
+def test_hot_key_of_equal_rows_meets_in_several_tasks(spark):
+    rows = spark.range(0, 3000, 1, 8).selectExpr("CASE WHEN id % 3 = 0 THEN 1 ELSE id END AS k", "id % 3 AS v")
     per_key = rows.groupBy("k").count().selectExpr("k", "count AS n")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     spark.conf.set("spark.sql.adaptive.enabled", "false")
@@ -74,7 +74,7 @@ def test_ids_and_years_from_text_and_fractions(spark):
     assert got == {(9007199254740992, 2018), (9007199254740993, 2018), (8, None), (None, None)}
 
 
-def test_closing_a_study_leaves_nothing_behind(spark):
+def test_closing_a_study_leaves_nothing_behind(spark, tmp_path):
     folder = shared_folder(spark).removeprefix("file:")
     before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
     rows = [{"mb": m, "year": y} for m in range(1, 5) for y in range(2018, 2024)]
@@ -82,6 +82,10 @@ def test_closing_a_study_leaves_nothing_behind(spark):
         assert study.size_stats().count() > 0
         assert set(os.listdir(folder)) - before
     assert set(os.listdir(folder)) <= before
+    with PanelStudy(statements(spark, *rows)) as study:
+        reports = study.run(str(tmp_path / "summary"))
+        assert all(r.count() >= 0 for r in reports.values())
+    assert set(os.listdir(folder)) <= before
 
 
 def test_release_leaves_other_frames_alone(spark):
@@ -96,9 +100,40 @@ def test_release_leaves_other_frames_alone(spark):
 def test_repeated_keys_are_refused_where_asked_for(spark):
     rows = [{"mb": m, "year": y} for m in range(1, 5) for y in range(2018, 2024)] + [{"mb": 1, "year": 2019}]
     source = statements(spark, *rows)
-    assert PanelStudy(source).fe_summary().count() > 0
+    assert PanelStudy(source, PanelConfig(duplicate_keys="allow")).fe_summary().count() > 0
     with pytest.raises(ValueError, match="1 rows beyond one"):
-        PanelStudy(source, PanelConfig(duplicate_keys="refuse")).fe_summary()
+        PanelStudy(source).fe_summary()
+    assert [tuple(r) for r in PanelStudy(source).repeated_keys().collect()] == [(1, 2019, 2)]
+
+
+def test_no_liquidation_counts_zero(spark):
+    study = PanelStudy(statements(spark, {}, {"mb": 2}))
+    assert [tuple(r) for r in study.liquidation_size_distribution().collect()] == [(None, None, 0, None, 0)]
+    empty = PanelStudy(statements(spark, {}).where("false"))
+    assert [tuple(r) for r in empty.size_distribution().collect()] == [(None, None, 0, None, 0)]
+    assert empty.liquidation_size_distribution().first().liquidated_firms == 0
+    assert empty.fe_summary().count() == 0
+
+
+def test_no_folder_of_one_machine_on_a_cluster(spark, monkeypatch):
+    plain = spark.sparkContext.master
+    for master, folder, shared in [(plain, "/tmp/w", True), ("spark://host:7077", "/tmp/w", False),
+                                   ("yarn", "file:/tmp/w", False), ("yarn", "hdfs://n/w", True)]:
+        class Conf:
+            def get(self, key, default=None):
+                return default if key == "spark.checkpoint.dir" else folder
+
+        class Context:
+            def getCheckpointDir(self):
+                return None
+
+        Context.master = master
+        session = type("S", (), {"conf": Conf(), "sparkContext": Context()})()
+        if shared:
+            assert shared_folder(session) == f"{folder}/_intermediate"
+        else:
+            with pytest.raises(ValueError, match="all executors share"):
+                shared_folder(session)
 
 
 @pytest.mark.parametrize("df", [1e5, 1e9, 1e11, 1e13, 1e15])

@@ -48,11 +48,11 @@ def test_parquet_scan_prunes_and_pushes_down(spark, tmp_path):
 
 def test_year_folders_are_pruned(spark, tmp_path):
     from firmlens import PanelConfig
-    from firmlens.operators.firms import firm_codes
+    from firmlens.operators.profile import firm_codes, firm_table
 
     path = str(tmp_path / "by_year")
     statements(spark, {"year": 2013}, {"year": 2018}).write.partitionBy("year").parquet(path)
-    plan = firm_codes(read_statements(spark, path), PanelConfig())._jdf.queryExecution().toString()
+    plan = firm_codes(firm_table(read_statements(spark, path), PanelConfig()))._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(year" in plan
 
 
