@@ -34,8 +34,8 @@ def _rows(source: DataFrame, cfg: PanelConfig) -> DataFrame:
 
 def firm_table(source: DataFrame, cfg: PanelConfig) -> DataFrame:
     """One row per firm: id, attribute codes, liquidation, row_count (rows in the window), n_obs
-    (eligible rows), years_m (their distinct years as bits), and per model j and period p
-    n_j_p, s_j_p and q_j_p: count, sum and sum of squares around their mean in the sample.
+    (eligible rows), years_m (their distinct years as bits), and per model j a struct m_j with
+    n_p, s_p and q_p of each period p: count, sum and sum of squares around their mean.
     """
     rows = sample_columns(
         scaled(_rows(source, cfg)), cfg, "eligible AND covid_period IS NOT NULL"
@@ -45,20 +45,20 @@ def firm_table(source: DataFrame, cfg: PanelConfig) -> DataFrame:
         F.count(F.lit(1)).alias("row_count"),
         F.expr("count_if(eligible) AS n_obs"),
         *year_masks(cfg),
-        *[m for j, depvar in enumerate(cfg.depvars) for m in _period_moments(j, depvar, cfg)],
+        *[_period_moments(depvar, cfg).alias(f"m_{j}") for j, depvar in enumerate(cfg.depvars)],
     )
 
 
-def _period_moments(j: int, depvar: str, cfg: PanelConfig) -> list[F.Column]:
+def _period_moments(depvar: str, cfg: PanelConfig) -> F.Column:
     moments = []
     for p in range(len(cfg.periods)):
         y = f"CASE WHEN covid_period = {p + 1} THEN `{depvar}` END"
         moments += [
-            F.expr(f"cast(count({y}) AS double) AS n_{j}_{p}"),
-            F.expr(f"coalesce(sum({y}), 0D) AS s_{j}_{p}"),
-            F.expr(f"coalesce(var_pop({y}) * count({y}), 0D) AS q_{j}_{p}"),
+            f"cast(count({y}) AS double) AS n_{p}",
+            f"coalesce(sum({y}), 0D) AS s_{p}",
+            f"coalesce(var_pop({y}) * count({y}), 0D) AS q_{p}",
         ]
-    return moments
+    return F.expr(f"struct({', '.join(moments)})")
 
 
 def firm_codes(table: DataFrame) -> DataFrame:
@@ -102,7 +102,7 @@ def firm_moments(table: DataFrame, cfg: PanelConfig) -> DataFrame:
     and of dummy periods the demeaned cross product g_pq = n_p [p = q] - n_p n_q / n.
     """
     periods = range(len(cfg.periods))
-    fields = [f"{c}_{{j}}_{p} AS {c}_{p}" for c in "nsq" for p in periods]
+    fields = [f"m_{{j}}.{c}_{p} AS {c}_{p}" for c in "nsq" for p in periods]
     models = ", ".join(
         f"struct('{depvar}' AS depvar, {', '.join(fields).format(j=j)})"
         for j, depvar in enumerate(cfg.depvars)

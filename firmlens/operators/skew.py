@@ -22,10 +22,12 @@ def attach_by_key(
     The keys with more than `hot_rows` rows, the `hot_keys` largest at most, are sent to all
     tasks, and their rows stay where they are, equal rows too: no task gets more of a hot key than it read. All
     other rows are shuffled by key; a key among them has at most `hot_rows` rows or less than
-    1 / `hot_keys` of all. Without hot keys, adaptive execution drops the first branch before it
-    scans anything.
+    1 / `hot_keys` of all. Looks at `per_key`, which should be written: without hot keys this is a
+    plain join and the rows are read once.
     """
     hot = per_key.where(F.col(weight) > hot_rows).orderBy(F.desc(weight), *keys).limit(hot_keys)
+    if hot.isEmpty():
+        return rows.join(per_key, keys)
     in_place = rows.join(F.broadcast(hot), keys)
     rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
     return in_place.unionByName(rest.join(per_key, keys))

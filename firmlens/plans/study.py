@@ -80,10 +80,6 @@ class PanelStudy:
             return profile.firm_codes(self.firm_rows)
         return materialize(self.firms, "firm_codes")
 
-    @cached_property
-    def mean_rows(self) -> DataFrame:
-        return materialize(within.firm_means(self.moments, self.cfg), "firm_means")
-
     @property
     def profiles(self) -> DataFrame:
         return profile.firm_profiles(self.firm_table, self.cfg)
@@ -202,7 +198,7 @@ class PanelStudy:
         return within.design_matrix(self.panel, self.cfg)
 
     def within_transform(self) -> DataFrame:
-        return within.within_transform(self.source, self.mean_rows, self.cfg)
+        return within.within_transform(self.source, within.firm_means(self.firm_rows, self.cfg), self.cfg)
 
     def within_moments(self) -> DataFrame:
         return regression.moment_table(self.spark, self.fits, self.cfg)
