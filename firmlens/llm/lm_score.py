@@ -17,10 +17,11 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from firmlens.llm.common import fold, mapped, word_hashes, words
+from firmlens.llm.common import fold, mapped, word_hashes
 from firmlens.sources.sinks import materialize
 
 #: Stands for the end of a text among the hashes of words.
@@ -50,15 +51,25 @@ class LmConfig:
         return self.own + self.classes
 
 
-def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of each text and its end, text after text; tokens of each text."""
-    lists = [words(t) for t in texts]
-    sizes = np.array([len(w) + 1 for w in lists], int)
-    flat = np.full(int(sizes.sum()), END, np.int64)
-    inner = np.ones(len(flat), bool)
+def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct tokens as hashes (the end first), each token's place among them, tokens of each text.
+
+    The tokens of a text are its words, A-Z lower-cased, and its end.
+    """
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    flat = split.flatten()
+    filled = pc.greater(pc.binary_length(flat), 0)
+    lengths = pc.list_value_length(split).to_numpy(zero_copy_only=False)
+    of_text = np.repeat(np.arange(len(lengths)), lengths)
+    sizes = np.bincount(of_text[filled.to_numpy(zero_copy_only=False)], minlength=len(lengths)) + 1
+    coded = flat.filter(filled).dictionary_encode()
+    known = coded.dictionary.cast(pa.binary()).to_pylist()
+    hashes = np.concatenate([[END], word_hashes(known).view(np.int64)])
+    place = np.zeros(int(sizes.sum()), np.int64)
+    inner = np.ones(len(place), bool)
     inner[np.cumsum(sizes) - 1] = False
-    flat[inner] = word_hashes(w for one in lists for w in one).view(np.int64)
-    return flat, sizes
+    place[inner] = coded.indices.to_numpy().astype(np.int64) + 1
+    return hashes, place, sizes
 
 
 def token_counts(docs: DataFrame, text_column: str = "text") -> DataFrame:
@@ -66,16 +77,18 @@ def token_counts(docs: DataFrame, text_column: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def counted(parts: list) -> pa.RecordBatch:
-            token, n = np.unique(np.concatenate(parts), return_counts=True)
+            each = [np.concatenate(c) for c in zip(*parts)]
+            token, inverse = np.unique(each[0], return_inverse=True)
+            n = np.bincount(inverse, each[1]).astype(np.int64)
             return pa.RecordBatch.from_arrays([pa.array(token), pa.array(n)], names=["token", "n"])
 
         parts, held = [], 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                flat, _ = tokens(batch.slice(at, 256).column(0).to_pylist())
-                parts.append(flat)
-                held += len(flat)
-                if held > 4_000_000:
+            for at in range(0, batch.num_rows, 512):
+                hashes, place, _ = tokens(batch.slice(at, 512).column(0))
+                parts.append((hashes, np.bincount(place, minlength=len(hashes))))
+                held += len(hashes)
+                if held > 2_000_000:
                     yield counted(parts)
                     parts, held = [], 0
         if parts:
@@ -196,8 +209,9 @@ class LogBilinear:
         if not hasattr(self, "uses"):
             self.start_training()
         order = rng.permutation(len(target))
+        context, target = context[:, order], target[order]
         for at in range(0, len(order), self.cfg.batch):
-            rows = order[at : at + self.cfg.batch]
+            rows = slice(at, at + self.cfg.batch)
             self._step(context[:, rows], target[rows], rng)
 
     def _step(self, context, target, rng):
@@ -225,30 +239,30 @@ class LogBilinear:
 
     def _moved(self, k: int, rows: np.ndarray, grads: np.ndarray) -> None:
         """An Adagrad step of the rows that a batch touches."""
-        rows, inverse, times = np.unique(rows, return_inverse=True, return_counts=True)
-        g = _added(inverse, grads, len(rows))
+        if len(self.p[k]) <= len(rows):  # a short table as a whole; rows without a gradient stay
+            times, inverse, rows = np.bincount(rows, minlength=len(self.p[k])), rows, slice(None)
+        else:
+            rows, inverse, times = np.unique(rows, return_inverse=True, return_counts=True)
+        g = _added(inverse, grads, len(times))
         self.uses[k][rows] += times
-        s = self.squares[k][rows] + g**2
+        s = self.squares[k][rows] + g * g
         self.squares[k][rows] = s
-        self.p[k][rows] -= self.cfg.rate * g / np.sqrt(s)
+        np.sqrt(s, out=s)
+        g *= np.float32(self.cfg.rate)
+        g /= s
+        self.p[k][rows] -= g
 
     def log_probability(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural log of each target's probability, over all outputs."""
-        d = self.cfg.dims
-        q, u = self.p[1], self.p[3]
-        h, group = self.hidden(context), self.group[target]
-        out = np.empty(len(target))
-        for at in range(0, len(target), 8192):
-            own = slice(at, at + 8192)
-            out[own] = _log_share(h[own] @ u[:, :d].T + u[:, d], group[own])
+        h = _rows(self.hidden(context), np.ones(len(target)))
+        group = self.group[target]
+        out = _log_share(h, self.p[3], group)
         order = np.argsort(group, kind="stable")
         ends = np.searchsorted(group[order], np.arange(len(self.first)))
         for g in np.flatnonzero((np.diff(ends) > 0) & (np.diff(self.first) > 1)):
             a, b = self.first[g], self.first[g + 1]
             rows = order[ends[g] : ends[g + 1]]
-            for at in range(0, len(rows), 8192):
-                own = rows[at : at + 8192]
-                out[own] += _log_share(h[own] @ q[a:b, :d].T + q[a:b, d], target[own] - a)
+            out[rows] += _log_share(h[rows], self.p[1][a:b], target[rows] - a)
         return out
 
     def used(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -285,12 +299,21 @@ def _rows(vectors: np.ndarray, bias: np.ndarray) -> np.ndarray:
     return np.concatenate([vectors, bias[:, None]], axis=1).astype(np.float32)
 
 
-def _log_share(score: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    """Log of the chosen column's share of the exponentials of each row."""
-    score = np.clip(score, -60, 60)
-    own = score[np.arange(len(score)), chosen].astype(float)
-    np.exp(score, out=score)
-    return own - np.log(score.sum(axis=1))
+#: Scores that are computed at a time, so that they stay in a core's cache.
+SCORES = 131_072
+
+
+def _log_share(h: np.ndarray, q: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Log of the chosen row of q's share of the exponentials of each row of h Q'."""
+    out, q, ones = np.empty(len(h)), np.ascontiguousarray(q.T), np.ones(len(q), np.float32)
+    step = max(16, SCORES // q.shape[1])
+    for at in range(0, len(h), step):
+        score = h[at : at + step] @ q
+        np.clip(score, -60, 60, out=score)
+        out[at : at + step] = score[np.arange(len(score)), chosen[at : at + step]]
+        np.exp(score, out=score)
+        out[at : at + step] -= np.log(score @ ones)
+    return out
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -318,8 +341,8 @@ def train(docs: DataFrame, vocabulary: Vocabulary, text_column: str = "text") ->
         model.start_training()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
-                flat, sizes = tokens(batch.slice(at, 512).column(0).to_pylist())
-                out = vocabulary.outputs(flat)
+                hashes, place, sizes = tokens(batch.slice(at, 512).column(0))
+                out = vocabulary.outputs(hashes)[place]
                 model.train(contexts(out, sizes, cfg), out, rng)
         rows, values, uses = model.used()
         for at in range(0, len(rows), 8192):
@@ -369,11 +392,12 @@ def score(
     class_size = np.log10(vocabulary.class_size)
 
     def work(batch: pa.RecordBatch) -> Iterator[dict]:
-        flat, sizes = tokens(batch.column(2).to_pylist())
+        hashes, place, sizes = tokens(batch.column(2))
         doc = np.repeat(np.arange(len(sizes)), sizes)
-        out = vocabulary.outputs(flat)
-        n, in_head = vocabulary.counts(flat)
-        of_count = np.where(in_head, np.log10(n + 0.5), 0.0)
+        out = vocabulary.outputs(hashes)[place]
+        n, in_head = vocabulary.counts(hashes)
+        of_count = np.where(in_head, np.log10(n + 0.5), 0.0)[place]
+        n, in_head = n[place], in_head[place]
         likely = model.log_probability(contexts(out, sizes, cfg), out) / np.log(10)
         shared = out >= cfg.own  # of the others, the class alone says nothing about the word
         likely[shared] += of_count[shared] - class_size[out[shared] - cfg.own]
@@ -387,7 +411,7 @@ def score(
             "n_known": np.bincount(doc, (n > 0), size).astype(np.int64),
             "base": np.bincount(doc, of_count, size) - sizes * all_size,
             "model": np.bincount(doc, likely, size),
-            "tail": pa.ListArray.from_arrays(ends.astype(np.int32), pa.array(flat[tail])),
+            "tail": pa.ListArray.from_arrays(ends.astype(np.int32), pa.array(hashes[place[tail]])),
         }
 
     kind = rows.schema["doc_id"].dataType.simpleString()

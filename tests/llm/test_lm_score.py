@@ -125,3 +125,16 @@ def test_probabilities_of_grouped_outputs_sum_to_one():
     context = rng.integers(0, 506, (3, 4))
     each = np.exp([model.log_probability(context, np.full(4, o)) for o in range(505)])
     assert each.sum(axis=0) == pytest.approx(1, abs=1e-5)
+
+
+def test_tokens_are_the_words_between_ascii_blanks():
+    import pyarrow as pa
+
+    texts = [None, "", " ", "one", "  Two  ONE\t\n\v\f\rÄÖ two\x1cx\x1fy\x85z\xa0w v ", "x" * 100_000, "end\n", "İ ﬀ ẞ"]
+    for array in (pa.array(texts), pa.array(["skip", *texts]).slice(1)):
+        hashes, place, sizes = lm_score.tokens(array)
+        lists = [(t or "").encode().lower().split() for t in texts]
+        want = [h for ws in lists for h in [*lm_score.word_hashes(ws).view(np.int64).tolist(), lm_score.END]]
+        assert hashes[place].tolist() == want
+        assert sizes.tolist() == [len(ws) + 1 for ws in lists]
+    assert len(lm_score.tokens(pa.array([], pa.string()))[1]) == 0
