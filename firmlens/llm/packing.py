@@ -4,7 +4,7 @@ Documents become pieces of at most one sequence. Pieces that fill a sequence are
 others are dealt to groups that one task holds, each packed by best-fit decreasing. Lower
 bounds from dual-feasible functions certify a group's number of sequences. Groups above
 their bound exchange the documents of their unfilled sequences and pack these again, in
-ever fewer groups, until all is certified or nothing is gained.
+ever fewer groups, until all is certified, one group is left, or two rounds in a row gain nothing.
 """
 
 from __future__ import annotations
@@ -29,13 +29,18 @@ from firmlens.sources.sinks import materialize, release
 
 @dataclass(frozen=True)
 class PackConfig:
-    """capacity: tokens of a sequence. end_id closes each document. group_pieces: pieces of a group."""
+    """capacity: tokens of a sequence. end_id closes each document. group_pieces: pieces of a group.
+
+    growth: times that number that a group may hold in a later round. shrink: share of the groups
+    that a round keeps at most.
+    """
 
     capacity: int = 1024
     end_id: int = 2
     tokenizer: str = field(default_factory=lambda: public_tokenizers.path("byte_bpe_50k.json"))
     group_pieces: int = 100_000
-    max_rounds: int = 8
+    growth: int = 8
+    shrink: float = 0.75
 
 
 # Tokens
@@ -241,30 +246,50 @@ def pack(
 
 
 def place(items: DataFrame, cfg: PackConfig) -> DataFrame:
-    """(id, length) pieces below the capacity, with part, bin, place and turn."""
+    """(id, length) pieces below the capacity, with part, bin, place and turn.
+
+    A group's number of pieces is bounded in every round, so the last rounds may have several
+    groups; they end when two deals in a row save no sequence.
+    """
     parts = max(1, -(-items.count() // cfg.group_pieces))
     placed, done = _pack_round(items, parts, 0, cfg), []
-    for turn in range(1, cfg.max_rounds + 1):
-        if parts == 1:
-            break
+    turn = idle = 0
+    while parts > 1 and idle < 2:
         # Only unfilled sequences of groups above their bound can be saved.
         pool = placed.where(f"gap > 0 AND fill < {cfg.capacity}")
         n = pool.count()
         if not n:
             break
-        fewer = max(1, min(parts - 1, -(-n // cfg.group_pieces)))
-        again = _pack_round(pool, fewer, turn, cfg)
-        parts = fewer
+        turn += 1
+        fewer = min(-(-n // cfg.group_pieces), int(np.ceil(parts * cfg.shrink)))
+        parts = max(1, -(-n // (cfg.growth * cfg.group_pieces)), fewer)
+        again = _pack_round(pool, parts, turn, cfg)
         if _bins(again) < _bins(pool):
             done.append(placed.where(f"NOT (gap > 0 AND fill < {cfg.capacity})"))
-            placed = again
+            placed, idle = again, 0
         else:
             release(again)
+            idle += 1
     for rest in done:
         placed = placed.unionByName(rest)
     return placed
 
 
+def certificate(packed: DataFrame, cfg: PackConfig | None = None) -> DataFrame:
+    """One row: sequences of a packing, and how many its pieces need at least, whatever the packing.
+
+    The bound holds for all pieces together: it looks at their lengths only, counted in one pass, of which
+    there are at most as many as tokens in a sequence.
+    """
+    cfg = cfg or PackConfig()
+    counts = np.zeros(cfg.capacity + 1, np.int64)
+    for row in packed.groupBy("length").count().collect():
+        counts[row["length"]] = row["count"]
+    return packed.agg(F.count_distinct("sequence_id").alias("sequences")).withColumn(
+        "bound", F.lit(lower_bound(counts)).cast("long")
+    )
+
+
 def sequences(packed: DataFrame) -> DataFrame:
     """Per sequence: sequence_id and its ids as binary, of pieces packed with their ids.
 

@@ -109,3 +109,39 @@ def test_sequences_hold_the_ids(make_docs):
 def test_segments_give_the_ids_of_the_whole_text(text):
     ids = next(iter(packing.encoder(CFG.tokenizer).encode([text])))
     assert [*np.frombuffer(ids, "<u4").tolist(), 2] == plain_ids(text)
+
+
+@pytest.mark.parametrize("group_pieces, growth", [(12, 4), (60, 1)])
+def test_rounds_end_certified_or_without_gain(spark, monkeypatch, group_pieces, growth):
+    lengths = np.random.default_rng(1).integers(20, 46, 1500)
+    items = spark.createDataFrame([(i, int(x)) for i, x in enumerate(lengths)], "id long, length long")
+    cfg = PackConfig(capacity=100, group_pieces=group_pieces, growth=growth)
+    turns, plain = [], packing._pack_round
+
+    def seen(items, parts, turn, cfg):
+        turns.append((parts, items.count()))
+        return plain(items, parts, turn, cfg)
+
+    monkeypatch.setattr(packing, "_pack_round", seen)
+    rows = packing.place(items, cfg).collect()
+    assert sorted(r.id for r in rows) == list(range(1500))
+    bins = {}
+    for r in rows:
+        bins.setdefault((r.turn, r.part, r.bin), []).append((r.place, r.length))
+    for pieces in bins.values():
+        ends = np.cumsum([n for _, n in sorted(pieces)])
+        assert ends[-1] <= 100 and [p for p, _ in sorted(pieces)] == [0, *ends[:-1]]
+    open_bins = any(r.gap > 0 and sum(n for _, n in bins[r.turn, r.part, r.bin]) < 100 for r in rows)
+    assert len(turns) > 1 and all(n <= growth * group_pieces * parts for parts, n in turns)
+    assert not open_bins or turns[-1][0] == 1 or turns[-1][1] == turns[-2][1]
+    assert packing.lower_bound(np.bincount(lengths, minlength=101)) <= len(bins)
+
+
+def test_certificate_bounds_all_pieces_together(make_docs):
+    texts = {i: "a " * (i % 40) for i in range(200)}
+    packed = packing.pack(make_docs(list(texts.items())), CFG)
+    row = packing.certificate(packed, CFG).first()
+    assert row.sequences == check(packed.collect(), texts, CFG)
+    lengths = [r.length for r in packed.collect()]
+    assert -(-sum(lengths) // 16) <= row.bound <= row.sequences
+    assert tuple(packing.certificate(packing.pack(make_docs([]), CFG), CFG).first()) == (0, 0)
