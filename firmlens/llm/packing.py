@@ -45,8 +45,8 @@ class PackConfig:
 
 # Tokens
 
-#: Segments whose ids a worker keeps; others are encoded each time.
-KEPT_SEGMENTS = 500_000
+#: Segments whose ids a worker keeps, and as many of those that it used before them.
+KEPT_SEGMENTS = 400_000
 _ODD = re.compile(r" (?:\s|$)")
 _CUT = re.compile(r" (?=\S)")
 
@@ -64,6 +64,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kept: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         for text in texts:
@@ -76,13 +77,20 @@ class Encoder:
                 yield b"".join([*self._ids([first]), *self._spaced(rest)])
 
     def _spaced(self, parts: list[str]) -> Iterator[bytes]:
-        new = list(set(parts).difference(self.kept))
+        new = set(parts).difference(self.kept)
         if not new:
             return map(self.kept.__getitem__, parts)
         known = self.kept
         if len(known) + len(new) > KEPT_SEGMENTS:
-            known = {p: known[p] for p in set(parts) if p in known}
-        known.update(zip(new, self._ids([" " + p for p in new])))
+            known = {p: known[p] for p in set(parts).difference(new)}
+            self.kept, self.before = known, self.kept
+        again = [p for p in new if p in self.before]
+        known.update(zip(again, map(self.before.__getitem__, again)))
+        new = list(new.difference(again))
+        if new:
+            known.update(zip(new, self._ids([" " + p for p in new])))
+        if len(known) > KEPT_SEGMENTS:  # of one very long text
+            self.kept = {}
         return map(known.__getitem__, parts)
 
     def _ids(self, segments: list[str]) -> list[bytes]:

@@ -145,3 +145,12 @@ def test_certificate_bounds_all_pieces_together(make_docs):
     lengths = [r.length for r in packed.collect()]
     assert -(-sum(lengths) // 16) <= row.bound <= row.sequences
     assert tuple(packing.certificate(packing.pack(make_docs([]), CFG), CFG).first()) == (0, 0)
+
+
+def test_segments_that_leave_the_cache_give_the_same_ids(monkeypatch):
+    monkeypatch.setattr(packing, "KEPT_SEGMENTS", 7)
+    encoder = packing.Encoder(CFG.tokenizer)
+    texts = [" ".join(f"w{(i * k) % 23}" for k in range(n)) for i, n in enumerate([3, 5, 4, 30, 2, 6, 6, 3, 9, 1])] * 2
+    for text, ids in zip(texts, encoder.encode(texts)):
+        assert [*np.frombuffer(ids, "<u4").tolist(), 2] == plain_ids(text)
+        assert len(encoder.kept) <= 7 and len(encoder.before) <= 7
