@@ -60,8 +60,9 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     flat = split.flatten()
     filled = pc.greater(pc.binary_length(flat), 0)
     lengths = pc.list_value_length(split).to_numpy(zero_copy_only=False)
-    of_text = np.repeat(np.arange(len(lengths)), lengths)
-    sizes = np.bincount(of_text[filled.to_numpy(zero_copy_only=False)], minlength=len(lengths)) + 1
+    upto = np.concatenate([[0], np.cumsum(filled.to_numpy(zero_copy_only=False))])
+    ends = np.cumsum(lengths, dtype=np.int64)
+    sizes = upto[ends] - upto[ends - lengths] + 1
     coded = flat.filter(filled).dictionary_encode()
     known = coded.dictionary.cast(pa.binary()).to_pylist()
     hashes = np.concatenate([[END], word_hashes(known).view(np.int64)])
@@ -199,6 +200,8 @@ class LogBilinear:
     def start_training(self) -> None:
         self.squares = [np.full_like(a, START_SQUARE) for a in self.p]
         self.uses = [np.zeros(len(a), np.int64) for a in self.p]
+        #: Place of a row among those that a batch touches.
+        self.slot = np.zeros(max(map(len, self.p)), np.int64)
 
     def hidden(self, context: np.ndarray) -> np.ndarray:
         r, c = self.p[0][:, :-1], self.p[2][:, :-1]
@@ -218,21 +221,21 @@ class LogBilinear:
         r, c = self.p[0][:, :-1], self.p[2][:, :-1]
         places, d = self.cfg.context, self.cfg.dims
         near = r[context]
-        h = (near * c[:, None, :]).sum(axis=0)
+        h = np.einsum("kij,kj->ij", near, c)
         back, steps = np.zeros_like(h), []
         for k, aim in ((1, target), (3, self.group[target])):
             noise = self.noise[k].draw(rng)
             q, of_noise = self.p[k][aim], self.p[k][noise]
             log = self.noise[k].log
             # How far each token looks like data rather than noise; the error of that belief.
-            data = _sigmoid((h * q[:, :d]).sum(axis=1) + q[:, d] - log[aim]) - 1
+            data = _sigmoid(np.einsum("ij,ij->i", h, q[:, :d]) + q[:, d] - log[aim]) - 1
             false = _sigmoid(h @ of_noise[:, :d].T + (of_noise[:, d] - log[noise]))
             back += data[:, None] * q[:, :d] + false @ of_noise[:, :d]
             grads = [_rows(data[:, None] * h, data), _rows(false.T @ h, false.sum(axis=0))]
             steps.append((k, np.concatenate([aim, noise]), np.concatenate(grads)))
         of_r = (back[None] * c[:, None, :]).reshape(-1, d)
         steps.append((0, context.ravel(), _rows(of_r, np.zeros(len(of_r)))))
-        steps.append((2, np.arange(places), _rows((back[None] * near).sum(axis=1), np.zeros(places))))
+        steps.append((2, np.arange(places), _rows(np.einsum("ij,kij->kj", back, near), np.zeros(places))))
         for k, rows, grads in steps:
             self._moved(k, rows, grads)
         self.uses[2] += len(target) - 1
@@ -242,7 +245,10 @@ class LogBilinear:
         if len(self.p[k]) <= len(rows):  # a short table as a whole; rows without a gradient stay
             times, inverse, rows = np.bincount(rows, minlength=len(self.p[k])), rows, slice(None)
         else:
-            rows, inverse, times = np.unique(rows, return_inverse=True, return_counts=True)
+            times = np.bincount(rows, minlength=len(self.p[k]))
+            touched = np.flatnonzero(times)
+            self.slot[touched] = np.arange(len(touched))
+            rows, inverse, times = touched, self.slot[rows], times[touched]
         g = _added(inverse, grads, len(times))
         self.uses[k][rows] += times
         s = self.squares[k][rows] + g * g
@@ -317,7 +323,11 @@ def _log_share(h: np.ndarray, q: np.ndarray, chosen: np.ndarray) -> np.ndarray:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    x = np.clip(x, -30, 30)
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 def _added(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
