@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from firmlens.llm.common import fresh, key_bits, word_count
+from firmlens.llm.common import fresh, word_count
 from firmlens.sources.sinks import materialize, release
 
 #: Key bits below each level: buckets of 12 bits, then 16 bits, then single keys.
@@ -41,8 +41,10 @@ def mix(
     """One row per document: doc_id, source, size, source_size, target, taken.
 
     A NULL or blank text has size 0 and is never taken; a NULL source is a source of its
-    own, a NULL id counts as empty text for its key. Rows with equal ids share a key and
-    are taken together. An empty table gives no rows. Other columns are not looked at.
+    own. The key comes from id and text, where NULL counts as empty text, so a source is also cut
+    among rows of one id; only rows that repeat id and text share a key and are taken together.
+    A very long text can miss a target by half its size. An empty table gives no rows. Other
+    columns are not looked at.
     """
     cfg = cfg or MixConfig()
     sized = _sized(docs, id_column, text_column, source_column)
@@ -64,7 +66,8 @@ def apply_mix(
 ) -> DataFrame:
     """The rows of `docs`, each as often as the mix takes it: not at all, once or more often.
 
-    How often follows from a row's source and id, so that rows only meet the table of sources.
+    How often follows from a row's source, id and text, so that rows only meet the table of
+    sources. Odd values are treated as in `mix`.
     """
     sized = _sized(docs, id_column, text_column, source_column)
     limits = _limits(sized, cfg or MixConfig())
@@ -72,7 +75,7 @@ def apply_mix(
     release(sized)
     limit, key, turn = limits.columns[0], fresh(docs, "key"), fresh(docs, "turn")
     times = f"cast({limit}.whole + IF({key} <= coalesce({limit}.threshold, -1), 1, 0) AS int)"
-    met = docs.withColumn(key, key_bits(id_column)).join(
+    met = docs.withColumn(key, row_key(id_column, text_column)).join(
         limits, docs[source_column].eqNullSafe(limits[limit]["of"])
     )
     repeated = met.withColumn(turn, F.explode(F.expr(f"array_repeat(0, {times})")))
@@ -83,13 +86,20 @@ def apply_mix(
 TIMES = "whole + IF(key <= coalesce(threshold, -1), 1, 0)"
 
 
+def row_key(id_column: str, text_column: str) -> F.Column:
+    """60 evenly spread bits of an id and a text, as a long."""
+    text = F.md5(F.coalesce(F.col(text_column), F.lit("")))
+    digest = F.md5(F.concat(text, F.coalesce(F.col(id_column).cast("string"), F.lit(""))))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+
+
 def _sized(docs: DataFrame, id_column: str, text_column: str, source_column: str) -> DataFrame:
     return materialize(
         docs.select(
             F.col(id_column).alias("doc_id"),
             F.col(source_column).alias("source"),
             word_count(text_column).alias("size"),
-            key_bits(id_column).alias("key"),
+            row_key(id_column, text_column).alias("key"),
         ),
         "mix_sizes",
     )
@@ -97,7 +107,9 @@ def _sized(docs: DataFrame, id_column: str, text_column: str, source_column: str
 
 def _limits(sized: DataFrame, cfg: MixConfig) -> DataFrame:
     goals = materialize(source_targets(sized, cfg), "mix_targets")
-    return materialize(thresholds(sized, goals), "mix_thresholds")
+    limits = materialize(thresholds(sized, goals), "mix_thresholds")
+    release(goals)
+    return limits
 
 
 def source_targets(sized: DataFrame, cfg: MixConfig) -> DataFrame:

@@ -27,7 +27,8 @@ MIXING = r"""
 WITH docs AS (
   SELECT doc_id, source,
     CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS key
+    CAST('0x' || substr(md5(md5(coalesce(text, '')) || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15)
+      AS BIGINT) AS key
   FROM documents),
 named AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,

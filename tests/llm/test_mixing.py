@@ -49,6 +49,26 @@ def test_nulls_blanks_repeated_rows_and_clashing_columns(make_docs):
     assert out[None][0].taken == 0 and out[1][0].taken == 0 and out[3][0].target == 0
 
 
+def test_a_source_is_cut_among_the_rows_of_one_id(make_docs, sql):
+    rng = random.Random(8)
+    rows = [(None, f"x{i} " * rng.randint(1, 30), "all null") for i in range(400)]
+    rows += [(7 if i % 3 else i, f"y{i} " * rng.randint(1, 30), "hot") for i in range(400)]
+    rows += [(1000, "long " * 3000, "third"), (1001, None, "third")]
+    docs = make_docs(rows)
+    out = mixing.mix(docs)
+    totals = out.groupBy("source").agg(F.sum("taken").alias("t"), F.max("target").alias("g")).collect()
+    got = {r.source: (r.t, r.g) for r in totals}
+    assert all(abs(t - g) <= 30 for name, (t, g) in got.items() if name != "third"), got
+    assert abs(got["third"][0] - got["third"][1]) <= 1500
+    words = mixing.apply_mix(docs).where("source <> 'third'").selectExpr("source", "size(split(trim(text), ' ')) AS n")
+    assert {r.source: r.n for r in words.groupBy("source").agg(F.sum("n").alias("n")).collect()} == {
+        name: t for name, (t, _) in got.items() if name != "third"
+    }
+    want = sql(f"SELECT {','.join(COLUMNS)} FROM ({oracle.MIXING})", documents=docs)
+    got = out.select(*COLUMNS).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
 def test_empty_table(make_docs):
     assert mixing.mix(make_docs([])).count() == 0
 
