@@ -98,13 +98,16 @@ def near_duplicates(
     precision. component_id is the smallest vec_id reachable by links and kept says that it is
     the row's own. Rows with a NULL id and vectors that are NULL, empty, zero or hold NULL or
     non-finite components have no links; vectors link only to those of their own length. Repeated
-    rows link to each other. An empty table gives no rows; other columns are not looked at.
+    rows link to each other; of one id with several vectors each row has its own links and group.
+    A cosine of exactly the threshold links. An empty table gives no rows; other columns are not
+    looked at.
     """
     cfg = cfg or EmbedConfig()
     rows = usable(vectors, id_column, vector_column)
     classes = materialize(
         rows.groupBy("v")
-        .agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"))
+        .agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("weight"))
+        .withColumn("rep", F.monotonically_increasing_id())  # an id may have several vectors
         .withColumn("dim", F.size("v")),
         "vector_classes",
     )
@@ -119,15 +122,18 @@ def near_duplicates(
         found = found.unionByName(more)
     links = found.where("root IS NULL").groupBy("rep").agg(F.sum("links").alias("others"))
     groups = components(found.where("root IS NOT NULL").selectExpr("rep AS src", "root AS dst"))
-    linked = (
+    grouped = (
         classes.join(links, "rep", "left")
-        .join(groups, classes.rep == groups.node, "left")
+        .join(groups, F.col("rep") == F.col("node"), "left")
         .selectExpr(
             "v",
+            "vec_id AS first",
             "coalesce(others, 0L) + weight - 1 AS links",
-            "coalesce(component, rep) AS component",
+            "coalesce(component, rep) AS group",
         )
     )
+    smallest = grouped.groupBy("group").agg(F.min("first").alias("component"))
+    linked = grouped.join(smallest, "group").select("v", "links", "component")
     return out.join(
         linked.withColumnRenamed("v", "_v"), F.expr("vec_id IS NOT NULL AND v = _v"), "left"
     ).selectExpr(
@@ -141,7 +147,7 @@ def near_duplicates(
 def _tiles(classes: DataFrame, dim: int, cfg: EmbedConfig) -> DataFrame:
     """Written rows (rep, links, root): link counts per tile, and a spanning forest of its links."""
     n = classes.count()
-    sample = classes.orderBy(F.xxhash64("rep"), "rep").limit(cfg.sample_rows).select("v").toArrow()
+    sample = classes.orderBy(F.xxhash64("vec_id"), "vec_id", F.xxhash64("v")).limit(cfg.sample_rows).select("v").toArrow()
     k = max(1, min(-(-n // cfg.cell_rows), cfg.max_cells, sample.num_rows))
     cells = Cells(spherical_kmeans(unit(matrix(sample["v"])), k, cfg.rounds), cfg.cosine)
 
@@ -157,36 +163,44 @@ def _tiles(classes: DataFrame, dim: int, cfg: EmbedConfig) -> DataFrame:
     for r in home.groupBy("cell").agg(F.sum("n").alias("n"), F.max("angle").alias("angle")).collect():
         cells.radius[r.cell], at_home[r.cell] = r.angle, r.n
 
-    def visits(batch: pa.RecordBatch) -> Iterator[dict]:
-        at, cell, is_home = cells.visits(unit(matrix(batch.column("v"))))
-        rows = batch.take(pa.array(at))
-        yield {
-            "cell": cell,
-            "home": is_home,
-            "rep": rows.column("rep"),
-            "weight": rows.column("weight"),
-            "v": rows.column("v"),
-        }
+    def counts(batch: pa.RecordBatch) -> Iterator[dict]:
+        cell = cells.visits(unit(matrix(batch.column("v"))))[1]
+        yield {"cell": np.arange(k), "n": np.bincount(cell, minlength=k)}
 
-    schema = f"cell int, home boolean, rep long, weight long, v {classes.schema['v'].dataType.simpleString()}"
-    met = mapped(classes.select("rep", "weight", "v"), schema, visits, rows=2048)
+    met = mapped(classes.select("v"), "cell int, n long", counts, rows=8192)
     in_cell = dict.fromkeys(range(k), 0) | dict(
-        map(tuple, met.groupBy("cell").count().collect())  # at most max_cells rows
+        map(tuple, met.groupBy("cell").agg(F.sum("n")).collect())  # at most max_cells rows
     )
 
+    def sent(at: np.ndarray, cell: np.ndarray, batch: pa.RecordBatch) -> dict:
+        return {"cell": cell} | dict(zip(batch.schema.names, batch.take(pa.array(at)).columns))
+
+    def at_home_only(batch: pa.RecordBatch) -> Iterator[dict]:
+        cell, _ = cells.home(unit(matrix(batch.column("v"))))
+        yield sent(np.arange(len(cell)), cell, batch)
+
+    def everywhere(batch: pa.RecordBatch) -> Iterator[dict]:
+        at, cell, _ = cells.visits(unit(matrix(batch.column("v"))))
+        yield sent(at, cell, batch)
+
+    schema = f"cell int, rep long, weight long, v {classes.schema['v'].dataType.simpleString()}"
+    vectors = classes.select("rep", "weight", "v")
+    own = mapped(vectors, schema, at_home_only, rows=2048)
+    guests = mapped(vectors, schema, everywhere, rows=2048)
+
     def blocks(of: dict[int, int]) -> F.Column:
         counts = F.array(*(F.lit(max(1, -(-of[c] // cfg.block))) for c in range(k)))
         return F.element_at(counts, F.col("cell") + 1)
 
     place = F.xxhash64("rep")
-    left = met.where("home").select(
+    left = own.select(
         "cell",
         F.pmod(place, blocks(at_home)).cast("int").alias("a"),
         F.explode(F.sequence(F.lit(0), blocks(in_cell) - 1)).alias("b"),
         "rep",
         "v",
     )
-    right = met.select(
+    right = guests.select(
         "cell",
         F.explode(F.sequence(F.lit(0), blocks(at_home) - 1)).alias("a"),
         F.pmod(place, blocks(in_cell)).cast("int").alias("b"),
@@ -211,7 +225,7 @@ def _tile(homes: pa.Table, others: pa.Table, cosine: float) -> pa.Table:
     x, y = unit(matrix(homes["v"])), unit(matrix(others["v"]))
     links = np.zeros(len(a), np.int64)
     weight = others["weight"].to_numpy()
-    # Vectors are nodes by id, so that one on both sides is one node.
+    # Vectors are nodes by number, so that one on both sides is one node.
     nodes = np.unique(np.concatenate([a, b]))
     of_a, of_b = np.searchsorted(nodes, a), np.searchsorted(nodes, b)
     low = np.arange(len(nodes))
