@@ -24,15 +24,20 @@ from firmlens.llm.vectors import matrix, usable
 
 @dataclass(frozen=True)
 class SearchConfig:
-    """k: neighbours per query. Blocks: rows of a tile. merge_queries: queries merged per task."""
+    """k: neighbours per query. Blocks: rows of a tile.
+
+    A merge task reads the lists of about merge_queries queries from at most merge_blocks
+    candidate blocks; more blocks are merged in levels.
+    """
 
     k: int = 20
-    query_block: int = 2048
+    query_block: int = 16_384
     candidate_block: int = 32_768
     merge_queries: int = 256
+    merge_blocks: int = 64
 
 
-LISTS = "vec_id long, code long, times long, ids array<long>, scores array<double>"
+LISTS = "vec_id long, code long, times long, block int, ids array<long>, scores array<double>"
 FOUND = "query_id long, times long, rank int, vec_id long, score double"
 
 
@@ -106,12 +111,26 @@ def _tile(queries: pa.Table, rows: pa.Table, keep: int) -> pa.Table:
             "vec_id": queries["vec_id"],
             "code": queries["code"],
             "times": queries["times"],
+            "block": queries["c_block"],
             "ids": pa.array(ids, pa.list_(pa.int64())),
             "scores": pa.array(found, pa.list_(pa.float64())),
         }
     )
 
 
+def _combined(lists: pa.Table, keep: int) -> pa.Table:
+    """One list per query with the `keep` best entries of its lists."""
+    own: dict[tuple, list] = {}
+    for r in lists.drop_columns("part").to_pylist():
+        own.setdefault((r["vec_id"], r["code"]), []).append(r)
+    best = []
+    for parts in own.values():
+        merged = heapq.merge(*([(-s, i) for s, i in zip(r["scores"], r["ids"])] for r in parts))
+        top = list(islice(merged, keep))
+        best.append(parts[0] | {"ids": [i for _, i in top], "scores": [-s for s, _ in top]})
+    return pa.Table.from_pylist(best, lists.drop_columns("part").schema)
+
+
 def _merge(lists: pa.Table, k: int) -> pa.Table:
     """Merge the sorted lists of each query by a heap and take out the query's own row."""
     own = {(r["vec_id"], r["code"]): [] for r in lists.select(["vec_id", "code"]).to_pylist()}
@@ -145,7 +164,9 @@ def search(
     `is_query` is an expression on vec_id. A query's own row is no candidate, but a further
     row with its id is. Rows with a NULL id and vectors that are NULL, empty, zero or hold NULL
     or non-finite components take no part; vectors meet those of their own length only.
-    A query row that is repeated has its list repeated. An empty table gives no rows.
+    A query row that is repeated has its list repeated. Ties go to the smaller vec_id; a product
+    beyond the range of a double is left out. An empty table gives no rows; other columns are not
+    looked at.
     """
     cfg = cfg or SearchConfig()
     keep, k = cfg.k + 1, cfg.k
@@ -167,7 +188,9 @@ def search(
         return df.select("*", block, repeat)
 
     left = dealt(queries, "q_block", query_blocks, "c_block", row_blocks)
-    right = dealt(rows.withColumn("dim", F.size("v")), "c_block", row_blocks, "q_block", query_blocks)
+    # Columns of its own, since Spark confuses the sides of a cogroup that share columns.
+    candidates = rows.select(*(F.col(c).alias(c) for c in ("vec_id", "v")), F.size("v").alias("dim"))
+    right = dealt(candidates, "c_block", row_blocks, "q_block", query_blocks)
     tile = ("dim", "q_block", "c_block")
     lists = (
         left.groupBy(*tile)
@@ -175,12 +198,22 @@ def search(
         .applyInArrow(lambda a, b: _tile(a, b, keep), LISTS)
     )
     merges = max(1, -(-n_queries // cfg.merge_queries))
+    part = F.pmod(F.xxhash64("vec_id", "code"), F.lit(merges)).alias("part")
+    blocks = row_blocks
+    while blocks > cfg.merge_blocks:
+        group = F.expr(f"cast(block div {cfg.merge_blocks} AS int) AS block")
+        lists = (
+            lists.select(part, "vec_id", "code", "times", group, "ids", "scores")
+            .groupBy("part", "block")
+            .applyInArrow(lambda t: _combined(t, keep), LISTS)
+        )
+        blocks = -(-blocks // cfg.merge_blocks)
     itself = queries.select("vec_id", "code", "v")
     # A query's score with itself, summed as the tiles sum it.
     selves = itself.mapInArrow(_selves, "vec_id long, code long, self double")
     found = (
         lists.join(selves, ["vec_id", "code"])
-        .withColumn("part", F.pmod(F.xxhash64("vec_id", "code"), F.lit(merges)))
+        .withColumn("part", part)
         .groupBy("part")
         .applyInArrow(lambda t: _merge(t, k), FOUND)
     )

@@ -89,6 +89,16 @@ def test_repeated_rows_link_to_each_other_and_null_ids_do_not(make):
     )
 
 
+def test_one_id_with_different_vectors(make):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.01, 1.0]), (0, [0.01, 1.0]), (0, [-1.0, 0.0])]
+    got = sorted(map(tuple, embed_dedup.near_duplicates(make(rows)).collect()))
+    assert got == plain_links(rows, 0.95)[0]
+    many = [(i % 40, v) for i, v in planted(seed=6, n=300)]
+    cfg = embed_dedup.EmbedConfig(cell_rows=60, block=32)
+    got = sorted(map(tuple, embed_dedup.near_duplicates(make(many), cfg).collect()))
+    assert got == plain_links(many, 0.95)[0]
+
+
 def test_empty_table(make):
     assert embed_dedup.near_duplicates(make([])).count() == 0
     assert ann.search(make([]), _every(20)).count() == 0
@@ -131,6 +141,15 @@ def test_search_with_repeated_rows_ties_and_clashing_columns(make):
     same(got, plain_search(rows, 10, 3))
 
 
+def test_lists_of_many_blocks_are_merged_in_levels(make):
+    rows = planted(seed=2, n=900)
+    cfg = ann.SearchConfig(k=5, query_block=64, candidate_block=5, merge_queries=16, merge_blocks=6)
+    got = sorted(map(tuple, ann.search(make(rows), _every(50), cfg).collect()))
+    same(got, plain_search(rows, 50, 5))
+    plan = ann.search(make(rows), _every(50), cfg)._jdf.queryExecution().analyzed().toString()
+    assert plan.count("_combined") or plan.count("FlatMapGroupsInArrow") == 3  # 180, 30 and 5 blocks
+
+
 def test_error_bounds_hold():
     rng = np.random.default_rng(5)
     x, y = rng.normal(size=(50, 9)) * rng.uniform(0.01, 100, (50, 1)), rng.normal(size=(60, 9))
