@@ -174,6 +174,7 @@ def thresholds(sized: DataFrame, goals: DataFrame) -> DataFrame:
         last, state = state, materialize(crossing, f"mix_level{level}")
         release(last)
         above = shift
-    nearer = F.expr("bucket - IF(upto - rest < rest - before, 0, 1)")
+    # No key where nothing is left to take, so that blank texts are not taken once more either.
+    nearer = F.expr("IF(rest > 0, bucket - IF(upto - rest < rest - before, 0, 1), NULL)")
     found = state.select(F.col("of").alias("_of"), nearer.alias("threshold"))
     return goals.join(found, goals.of.eqNullSafe(found._of), "left").drop("_of")

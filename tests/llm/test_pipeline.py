@@ -1,3 +1,4 @@
+import glob
 import random
 
 import pytest
@@ -5,6 +6,7 @@ import pytest
 import __spark_entry__
 import corpus_pipeline
 from firmlens.llm import mixing, secret_scan
+from firmlens.sources.sinks import shared_folder
 
 
 @pytest.fixture(scope="module")
@@ -50,8 +52,14 @@ def test_each_stage_on_its_own_input(spark, folder, tmp_path):
     assert set(left["packing"]) == set(left["mixing"])
 
 
+def _stages(spark):
+    return set(glob.glob(f"{shared_folder(spark).removeprefix('file:')}/stage_*"))
+
+
 def test_run_gives_what_the_last_stage_gives(spark, folder):
+    before = _stages(spark)
     packed = corpus_pipeline.run(spark, folder).collect()
+    assert len(_stages(spark) - before) == 1  # the result
     assert {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"} <= set(packed[0].asDict())
     fill = {}
     for r in packed:
@@ -73,6 +81,8 @@ def test_mix_keeps_rows_whole_with_clashing_columns(make_docs):
     out = mixing.apply_mix(docs)
     assert out.columns == docs.columns and out.exceptAll(docs.union(docs)).count() == 0
     assert mixing.apply_mix(make_docs([])).count() == 0
+    blank = make_docs([(i, "", "x") for i in range(40)] + [(99, "c", "x"), (100, "d e f g", "y")])
+    assert mixing.apply_mix(blank).groupBy("doc_id").count().where("count > 2").count() == 0
 
 
 def test_masking_counts_characters_again_only_where_text_changed(make_docs):
