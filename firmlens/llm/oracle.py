@@ -68,3 +68,57 @@ FROM docs JOIN split ON docs.source IS NOT DISTINCT FROM split.source
 LEFT JOIN once_more
   ON docs.source IS NOT DISTINCT FROM once_more.source AND docs.key = once_more.key
 """
+
+EMBED_DEDUP = """
+WITH RECURSIVE rows AS MATERIALIZED (
+  SELECT row_number() OVER () AS n, vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+usable AS MATERIALIZED (
+  SELECT n, x FROM rows
+  WHERE vec_id IS NOT NULL AND len([e FOR e IN x IF e IS NULL OR NOT isfinite(e)]) = 0
+    AND len([e FOR e IN x IF e <> 0]) > 0),
+links AS MATERIALIZED (
+  SELECT a.n AS a, b.n AS b FROM usable a JOIN usable b ON a.n <> b.n AND len(a.x) = len(b.x)
+  WHERE CASE WHEN len(a.x) = len(b.x) THEN list_cosine_similarity(a.x, b.x) >= 0.95e0 END),
+reached AS (
+  SELECT n, vec_id AS low FROM rows
+  UNION
+  SELECT b, low FROM reached JOIN links ON a = n),
+grouped AS (SELECT n, min(low) AS component_id FROM reached GROUP BY n),
+counted AS (SELECT a AS n, count(*) AS n_links FROM links GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id,
+  coalesce(vec_id = component_id, false) AS kept
+FROM rows JOIN grouped USING (n) LEFT JOIN counted USING (n)
+"""
+
+# A document's shingles of two words; equal sets are one class.
+MINHASH_JOIN = r"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, coalesce(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+'), []) AS w
+  FROM documents),
+sets AS MATERIALIZED (
+  SELECT doc_id, CASE WHEN len(w) = 1 THEN w ELSE
+    list_sort(list_distinct([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))])) END AS s
+  FROM texts),
+classes AS MATERIALIZED (
+  SELECT row_number() OVER () AS class, s, len(s) AS n, min(doc_id) AS first
+  FROM sets WHERE len(s) > 0 GROUP BY s),
+entries AS MATERIALIZED (SELECT class, n, unnest(s) AS e FROM classes),
+links AS MATERIALIZED (
+  SELECT a.class AS a, b.class AS b
+  FROM entries a JOIN entries b ON a.e = b.e AND a.class <> b.class
+    AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.class, b.class, a.n, b.n
+  HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reached AS (
+  SELECT class, first AS low FROM classes
+  UNION
+  SELECT b, low FROM reached JOIN links ON a = class),
+grouped AS (SELECT class, min(low) AS low FROM reached GROUP BY class),
+named AS (SELECT s, low FROM classes JOIN grouped USING (class))
+SELECT doc_id, len(sets.s) AS n_shingles,
+  CASE WHEN len(sets.s) > 0 THEN low ELSE doc_id END AS component_id,
+  coalesce(doc_id = CASE WHEN len(sets.s) > 0 THEN low ELSE doc_id END, false) AS kept
+FROM sets LEFT JOIN named ON sets.s = named.s
+"""

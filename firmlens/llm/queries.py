@@ -111,7 +111,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_embed_dedup": oracle.EMBED_DEDUP,
         "op2_sharding": oracle.SHARDING.format(limit=sharding.LIMIT),
         "op6_mixing": oracle.MIXING,
+        "op9_minhash_join": oracle.MINHASH_JOIN,
         "op13_quality_rules": oracle_rules.statement(),
     }

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from firmlens.llm import minhash_join
+from firmlens.llm import minhash_join, oracle
 from firmlens.llm.minhash_join import JoinConfig
 
 
@@ -165,3 +165,16 @@ def test_very_long_text(make_docs):
     docs = [(1, " ".join(base)), (2, " ".join(base[:-900])), (3, " ".join(base[:60_000]))]
     got = {r.doc_id: r.component_id for r in minhash_join.near_duplicates(make_docs(docs)).collect()}
     assert got == {1: 1, 2: 1, 3: 3}
+
+
+def test_equals_sql(make_docs, sql):
+    rng = random.Random(12)
+    base = [rng.choices("a b c D é ü x1 x2 x3 x4".split(), k=rng.randint(0, 40)) for _ in range(60)]
+    docs = [(i, " ".join(w)) for i, w in enumerate(base)]
+    docs += [(100 + i, "\t".join(w[:-1] + ["new"]).upper()) for i, w in enumerate(base) if i % 3 == 0]
+    docs += [(None, docs[5][1]), (None, None), (300, None), (301, " \n "), (302, "One"), (303, "oNE"), (4, docs[4][1])]
+    table = make_docs(docs)
+    columns = ("doc_id", "n_shingles", "component_id", "kept")
+    got = minhash_join.near_duplicates(table, JoinConfig(shingle=2)).select(*columns).collect()
+    want = sql(f"SELECT {','.join(columns)} FROM ({oracle.MINHASH_JOIN})", documents=table)
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)

@@ -3,7 +3,7 @@ import math
 import numpy as np
 import pytest
 
-from firmlens.llm import ann, embed_dedup
+from firmlens.llm import ann, embed_dedup, oracle
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
 
@@ -89,6 +89,13 @@ def test_repeated_rows_link_to_each_other_and_null_ids_do_not(make):
     )
 
 
+def test_links_equal_sql(make, sql):
+    vectors = make(planted(n=200) + ODD + [(None, [1.0, 2.0]), (3, [2.0, 1.0]), (3, [2.0, 1.0])])
+    got = embed_dedup.near_duplicates(vectors, embed_dedup.EmbedConfig(cell_rows=60)).collect()
+    want = sql(oracle.EMBED_DEDUP, embeddings=vectors)
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
 def test_one_id_with_different_vectors(make):
     rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.01, 1.0]), (0, [0.01, 1.0]), (0, [-1.0, 0.0])]
     got = sorted(map(tuple, embed_dedup.near_duplicates(make(rows)).collect()))
