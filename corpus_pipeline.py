@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from firmlens.llm import minhash_join, mixing, packing, secret_scan, toxicity
 from firmlens.llm.common import importable, table
-from firmlens.sources.sinks import materialize
+from firmlens.sources.sinks import materialize, release
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,8 +55,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The packed pieces of the cleaned documents."""
+    """The packed pieces of the cleaned documents. A stage's table goes once the next is written."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage_{name}")
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), f"stage_{name}")
+        release(before)
     return docs
