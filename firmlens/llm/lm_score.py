@@ -64,7 +64,7 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ends = np.cumsum(lengths, dtype=np.int64)
     sizes = upto[ends] - upto[ends - lengths] + 1
     coded = flat.filter(filled).dictionary_encode()
-    known = coded.dictionary.cast(pa.binary()).to_pylist()
+    known = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False)
     hashes = np.concatenate([[END], word_hashes(known).view(np.int64)])
     place = np.zeros(int(sizes.sum()), np.int64)
     inner = np.ones(len(place), bool)
@@ -200,12 +200,13 @@ class LogBilinear:
     def start_training(self) -> None:
         self.squares = [np.full_like(a, START_SQUARE) for a in self.p]
         self.uses = [np.zeros(len(a), np.int64) for a in self.p]
-        #: Place of a row among those that a batch touches.
-        self.slot = np.zeros(max(map(len, self.p)), np.int64)
+        #: Rows that a batch touches, and the place of each among them.
+        self.mark = np.zeros(max(map(len, self.p)), bool)
+        self.slot = np.zeros(len(self.mark), np.int64)
 
     def hidden(self, context: np.ndarray) -> np.ndarray:
-        r, c = self.p[0][:, :-1], self.p[2][:, :-1]
-        return sum(r[context[k]] * c[k] for k in range(self.cfg.context))
+        r, c = self.p[0], self.p[2][:, :-1]
+        return sum(r.take(near, axis=0)[:, :-1] * c[k] for k, near in enumerate(context))
 
     def train(self, context: np.ndarray, target: np.ndarray, rng: np.random.Generator) -> None:
         """One step per batch, by Adagrad on the noise-contrastive loss."""
@@ -218,14 +219,14 @@ class LogBilinear:
             self._step(context[:, rows], target[rows], rng)
 
     def _step(self, context, target, rng):
-        r, c = self.p[0][:, :-1], self.p[2][:, :-1]
+        r, c = self.p[0], self.p[2][:, :-1]
         places, d = self.cfg.context, self.cfg.dims
-        near = r[context]
+        near = r.take(context, axis=0)[:, :, :-1]
         h = np.einsum("kij,kj->ij", near, c)
         back, steps = np.zeros_like(h), []
         for k, aim in ((1, target), (3, self.group[target])):
             noise = self.noise[k].draw(rng)
-            q, of_noise = self.p[k][aim], self.p[k][noise]
+            q, of_noise = self.p[k].take(aim, axis=0), self.p[k][noise]
             log = self.noise[k].log
             # How far each token looks like data rather than noise; the error of that belief.
             data = _sigmoid(np.einsum("ij,ij->i", h, q[:, :d]) + q[:, d] - log[aim]) - 1
@@ -245,13 +246,16 @@ class LogBilinear:
         if len(self.p[k]) <= len(rows):  # a short table as a whole; rows without a gradient stay
             times, inverse, rows = np.bincount(rows, minlength=len(self.p[k])), rows, slice(None)
         else:
-            times = np.bincount(rows, minlength=len(self.p[k]))
-            touched = np.flatnonzero(times)
+            self.mark[rows] = True
+            touched = np.flatnonzero(self.mark)
+            self.mark[touched] = False
             self.slot[touched] = np.arange(len(touched))
-            rows, inverse, times = touched, self.slot[rows], times[touched]
+            rows, inverse = touched, self.slot.take(rows)
+            times = np.bincount(inverse, minlength=len(rows))
         g = _added(inverse, grads, len(times))
         self.uses[k][rows] += times
-        s = self.squares[k][rows] + g * g
+        s = g * g
+        s += self.squares[k][rows]
         self.squares[k][rows] = s
         np.sqrt(s, out=s)
         g *= np.float32(self.cfg.rate)
@@ -262,13 +266,14 @@ class LogBilinear:
         """Natural log of each target's probability, over all outputs."""
         h = _rows(self.hidden(context), np.ones(len(target)))
         group = self.group[target]
-        out = _log_share(h, self.p[3], group)
+        longest = _longest(h)
+        out = _log_share(h, longest, self.p[3], group)
         order = np.argsort(group, kind="stable")
         ends = np.searchsorted(group[order], np.arange(len(self.first)))
         for g in np.flatnonzero((np.diff(ends) > 0) & (np.diff(self.first) > 1)):
             a, b = self.first[g], self.first[g + 1]
             rows = order[ends[g] : ends[g + 1]]
-            out[rows] += _log_share(h[rows], self.p[1][a:b], target[rows] - a)
+            out[rows] += _log_share(h[rows], longest, self.p[1][a:b], target[rows] - a)
         return out
 
     def used(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -307,15 +312,28 @@ def _rows(vectors: np.ndarray, bias: np.ndarray) -> np.ndarray:
 
 #: Scores that are computed at a time, so that they stay in a core's cache.
 SCORES = 131_072
+#: Scores are kept within this, so that their exponentials stay finite.
+LIMIT = 60
 
 
-def _log_share(h: np.ndarray, q: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    """Log of the chosen row of q's share of the exponentials of each row of h Q'."""
+def _longest(rows: np.ndarray) -> float:
+    """Largest Euclidean length of a row."""
+    return float(np.sqrt(np.einsum("ij,ij->i", rows, rows).max(initial=0)))
+
+
+def _log_share(h: np.ndarray, longest: float, q: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Log of the chosen row of q's share of the exponentials of each row of h Q'.
+
+    `longest`: no row of h is longer. No score is above the product of the lengths, so that
+    few need the limit.
+    """
+    within = longest * _longest(q) < LIMIT
     out, q, ones = np.empty(len(h)), np.ascontiguousarray(q.T), np.ones(len(q), np.float32)
     step = max(16, SCORES // q.shape[1])
     for at in range(0, len(h), step):
         score = h[at : at + step] @ q
-        np.clip(score, -60, 60, out=score)
+        if not within:
+            np.clip(score, -LIMIT, LIMIT, out=score)
         out[at : at + step] = score[np.arange(len(score)), chosen[at : at + step]]
         np.exp(score, out=score)
         out[at : at + step] -= np.log(score @ ones)
@@ -429,7 +447,7 @@ def score(
         f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, model double, "
         "tail array<long>"
     )
-    scored = mapped(rows, schema, work, rows=128).withColumn("row", F.monotonically_increasing_id())
+    scored = mapped(rows, schema, work).withColumn("row", F.monotonically_increasing_id())
     scored = materialize(scored, "lm_scored")
     return _with_tail(scored, counts, vocabulary.total)
 
