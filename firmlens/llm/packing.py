@@ -56,13 +56,18 @@ class Encoder:
 
     The byte-level pre-tokenizer starts a new piece at every space that stands before a
     visible character, and nothing is merged across pieces. So the ids of a text are those
-    of its segments between such spaces, and a segment is encoded once.
+    of its segments between such spaces, and a segment is encoded once. New segments are
+    encoded together: each opens with a token that begins with a space.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self.tokenizer.get_vocab()
+        #: Whether a token begins with a space.
+        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.opens[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
         self.kept: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
 
@@ -88,11 +93,19 @@ class Encoder:
         known.update(zip(again, map(self.before.__getitem__, again)))
         new = list(new.difference(again))
         if new:
-            known.update(zip(new, self._ids([" " + p for p in new])))
+            known.update(zip(new, self._new(new)))
         if len(known) > KEPT_SEGMENTS:  # of one very long text
             self.kept = {}
         return map(known.__getitem__, parts)
 
+    def _new(self, parts: list[str]) -> list[bytes]:
+        ids = self._ids([" " + " ".join(parts)])[0]
+        at = np.flatnonzero(self.opens[np.frombuffer(ids, "<u4")])
+        if len(at) != len(parts):  # some hold further spaces
+            return self._ids([" " + p for p in parts])
+        ends = [*(4 * at).tolist(), len(ids)]
+        return [ids[a:b] for a, b in zip(ends, ends[1:])]
+
     def _ids(self, segments: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast(segments, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in encoded]
