@@ -404,8 +404,9 @@ def score(
     `learn` says which rows train. Scores are log10 probabilities of the whole text and its end:
     base_score of the smoothed unigram counts, score of the model. NULL and empty texts are
     just the end. Without any training row every token has the same probability under the
-    counts. Every row is kept, repeated ones too; an empty table gives no rows. Other columns
-    are not looked at.
+    counts. Every row is kept, repeated ones too; an empty table gives no rows. Very long texts
+    are scored whole. Among tokens of one count the smaller hash is the more frequent, so that a
+    tie at the last output of its own is settled. Other columns are not looked at.
     """
     cfg = cfg or LmConfig()
     rows = docs.select(

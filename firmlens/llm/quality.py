@@ -231,7 +231,9 @@ def score_documents(docs: DataFrame, labels: DataFrame, cfg: QualityConfig | Non
     """doc_id, held_out, score, predicted per row, learning labels where crc32(doc_id) mod 3 is not 1.
 
     NULL, empty and blank texts have the zero vector and the score that goes with it. Every
-    row is kept, repeated ones too; other columns are not looked at.
+    row is kept, repeated ones too; other columns are not looked at. Very long texts are read whole. Where more
+    rows are labelled than the sample may hold, ties of its hash go by id. An empty table gives
+    no rows; without labels of both kinds every text has their rate, 0 without any.
     """
     model = train(docs, labels, cfg, fold("doc_id", 3) != 1)
     return report(docs, model, fold("doc_id", 3) == 1)

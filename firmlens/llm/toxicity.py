@@ -231,7 +231,9 @@ def score_documents(docs: DataFrame, labels: DataFrame, cfg: ToxicConfig | None
     """doc_id, held_out, score, predicted per row, learning where crc32(doc_id) mod 5 is not 0.
 
     NULL and empty texts are scored by their features, which are all zero. Every row is kept,
-    repeated ones too; other columns are not looked at.
+    repeated ones too; other columns are not looked at. Very long texts are read whole. Where more
+    rows are labelled than the sample may hold, ties of its hash go by id. An empty table gives
+    no rows; without labels of both kinds every text has their rate, 0 without any.
     """
     model = train(docs, labels, cfg, fold("doc_id", 5) != 0)
     return report(docs, model, fold("doc_id", 5) == 0)
